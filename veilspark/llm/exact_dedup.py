@@ -21,6 +21,8 @@ def refine(light: DataFrame) -> DataFrame:
     # A length is a number up to the longest text: the table is counted before it is broadcast.
     at_length = light.join(small_or_shuffled(shared_length, 16), "n_bytes", "left_semi")
     shared_prefix = at_length.groupBy("n_bytes", "prefix_hash").count().where("count > 1").select("n_bytes", "prefix_hash")
+    # Staged, so that this side is dealt out by an exchange of its own and Spark can split a hot group of the other.
+    shared_prefix = stage(shared_prefix, "exact-prefixes")
     return light.join(shared_prefix, ["n_bytes", "prefix_hash"], "left_semi")
 
 
@@ -54,7 +56,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.count("*").alias("size"), F.min(best).alias("best"))
         .where("size > 1")
     )
-    joined = light.join(groups, "text_sha256", "left")
+    joined = light.join(stage(groups, "exact-groups"), "text_sha256", "left")
     return joined.select(
         F.col("id").alias(id_col),
         "n_chars",
