@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm_scoring, mixing, sharding, substring_dedup
+from . import bpe, exact_dedup, lm_scoring, mixing, sharding, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op2_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return bpe.Encoder(documents, bpe.default_path()).round_trip(documents)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"), length=13, extend=False)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -35,7 +40,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bin_packing, op4_substring_dedup, op7_backoff_automaton, op8_exact_dedup, op10_entropy_mixing)}
+    return {f.__name__: f for f in (op2_bin_packing, op3_transducer_bpe, op4_substring_dedup, op7_backoff_automaton, op8_exact_dedup, op10_entropy_mixing)}
 
 
 OP8_SQL = r"""
