@@ -11,6 +11,7 @@ import xxhash
 
 #: Bytes of text that are worked on together; a longer text is taken alone.
 SLICE_BYTES = 4 << 20
+SLICE_ROWS = 1 << 16
 _BLOCK = 1 << 20
 #: Longer words are hashed one by one.
 _LONG = 1 << 16
@@ -140,6 +141,6 @@ def slices(batch: pa.RecordBatch, text_col: str, most: int = SLICE_BYTES) -> Ite
     i = 0
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
-        j = min(j, len(column))
+        j = min(j, len(column), i + SLICE_ROWS)
         yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j

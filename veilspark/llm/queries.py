@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm_scoring, mixing, sharding, substring_dedup
+from . import bpe, exact_dedup, lm_scoring, mixing, ngram_join, sharding, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_read(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bin_packing, op3_transducer_bpe, op4_substring_dedup, op7_backoff_automaton, op8_exact_dedup, op10_entropy_mixing)}
+    return {f.__name__: f for f in (op2_bin_packing, op3_transducer_bpe, op4_substring_dedup, op5_ngram_jaccard_join, op7_backoff_automaton, op8_exact_dedup, op10_entropy_mixing)}
 
 
 OP8_SQL = r"""
