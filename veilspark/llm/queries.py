@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm_scoring, mixing, ngram_join, sharding, substring_dedup
+from . import bpe, exact_dedup, language_id, lm_scoring, mixing, ngram_join, sharding, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,12 +39,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
+    found = language_id.identify(documents, documents.where(~F.col("held_out")))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bin_packing, op3_transducer_bpe, op4_substring_dedup, op5_ngram_jaccard_join, op7_backoff_automaton, op8_exact_dedup, op10_entropy_mixing)}
+    return {f.__name__: f for f in (op2_bin_packing, op3_transducer_bpe, op4_substring_dedup, op5_ngram_jaccard_join, op7_backoff_automaton, op8_exact_dedup, op9_language_id, op10_entropy_mixing)}
 
 
 OP8_SQL = r"""
