@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, lm_scoring, mixing, ngram_join, sharding, substring_dedup
+from . import bpe, exact_dedup, html_extract, language_id, lm_scoring, mixing, ngram_join, sharding, substring_dedup, topk_search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op2_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.pack(_read(spark, sf_dir, "documents"), shards=8)
     return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -31,6 +36,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op6_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _read(spark, sf_dir, "embeddings")
+    return topk_search.top_k(embeddings, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_read(spark, sf_dir, "documents"))
 
@@ -50,7 +60,7 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bin_packing, op3_transducer_bpe, op4_substring_dedup, op5_ngram_jaccard_join, op7_backoff_automaton, op8_exact_dedup, op9_language_id, op10_entropy_mixing)}
+    return {f.__name__: f for f in (op1_template_extract, op2_bin_packing, op3_transducer_bpe, op4_substring_dedup, op5_ngram_jaccard_join, op6_uniform_threshold, op7_backoff_automaton, op8_exact_dedup, op9_language_id, op10_entropy_mixing)}
 
 
 OP8_SQL = r"""
@@ -66,5 +76,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r
 """
 
 
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, i, CAST(floor(1024 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+  GROUP BY 1, 2
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op6_uniform_threshold": OP6_SQL, "op8_exact_dedup": OP8_SQL}
