@@ -124,8 +124,11 @@ def ask(
     return stage(gathered.select("chunk_id", F.transform("_r", lambda x: x["reply"]).alias(reply_name)), "replies")
 
 
-def with_replies(table: DataFrame, replies: DataFrame, name: str) -> DataFrame:
-    """The chunk table with a pass's replies: broadcast if their measured bytes allow, else joined by shuffle."""
+def with_replies(table: DataFrame, replies: DataFrame, name: str, grows: bool = False) -> DataFrame:
+    """The chunk table with a pass's replies: broadcast if their measured bytes allow, else joined by shuffle; always
+    by shuffle if they ``grow`` as the texts do."""
+    if grows:
+        return table.join(replies, "chunk_id", "left")
     size = replies.select(F.sum(F.expr(f"aggregate({name}, 0L, (a, x) -> a + octet_length(x))"))).first()[0] or 0
     return table.join(F.broadcast(replies) if size <= BROADCAST_BYTES else replies, "chunk_id", "left")
 

@@ -150,7 +150,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
     train_tokens, distinct = _head(unigrams, "words")
     bigrams = ask(table, ask_pairs, _totals, "pairs")
     n_train = _training_rows(table, modulus, rest)
-    full = with_replies(with_replies(table, unigrams, "words"), bigrams, "pairs")
+    full = with_replies(with_replies(table, unigrams, "words", grows=True), bigrams, "pairs", grows=True)
 
     def finish(batches):
         for row in rows_of(batches):
