@@ -42,7 +42,7 @@ def skip_reason(path: Column, length: Column, max_bytes: int = MAX_BYTES) -> Col
 
 def scannable(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``uri, text`` of the files that are scanned; sizes and names are tested before any content is read."""
-    return files.where(skip_reason(F.col("path"), F.col("length"), max_bytes).isNull()).select(F.col("path").alias("uri"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(skip_reason(F.col("path"), F.col("length"), max_bytes).isNull()).select(F.col("path").alias("uri"), F.decode("content", "UTF-8").alias("text"))
 
 
 def parse_csv(text: str) -> list[list[str]]:
