@@ -1,11 +1,63 @@
-"""Corpus pipeline over ``documents`` (stages follow with their operators)."""
+"""From raw documents to a tokenised training mix.
+
+Every stage is a function of (spark, docs, sf_dir) over all rows that the stage before kept; its result is written as
+Parquet and read back as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspark.llm import bpe, exact_dedup, language_id, mixing, ngram_join
+from veilspark.llm._common import shared_dir
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was recognised. Those without letters are rejected; a missing label is filled."""
+    found = language_id.identify(docs).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the longest original."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a 5-word-shingle similarity of 0.8 or more, that of the least id."""
+    return ngram_join.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out so that sources come near their target weights."""
+    return mixing.mixed(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, n_tokens, ids``: every remaining text as byte-level BPE ids."""
+    encoded = bpe.Encoder(docs, bpe.default_path()).encode(docs)
+    return encoded.select("doc_id", "lang", "source", F.size("ids").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("entropy_mixing", mix_sources),
+    ("transducer_bpe", encode_tokens),
+]
+
+#: No SQL: the join, the mix and the encoding are not expressible; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/veilspark-pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
