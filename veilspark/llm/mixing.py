@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._common import stage, word_count
+from ._common import small_or_shuffled, stage, word_count
 
 MAX_STEPS = 60
 TOLERANCE = 1e-6
@@ -94,7 +94,7 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFra
             break
     return base.join(F.broadcast(state.select("source_key", "lam")), "source_key").select(
         "source_key", "size", "n", F.when(F.col("target") >= F.col("source_size") * cap, F.lit(float(cap))).otherwise(_rate(F.col("lam"), F.col("z"), cap)).alias("rate")
-    )
+    ).withColumn("rate", F.round("rate", 9))  # sums of doubles differ in their last bits from run to run
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -113,7 +113,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     targets = stage(source_targets(sources, cycle, float(cap)), "mix-targets")
     rates = balance(classes.drop("source"), targets, float(cap))
     in_order = W.partitionBy("source_key").orderBy("size").rowsBetween(W.unboundedPreceding, -1)
-    plan = rates.withColumn("f0", F.coalesce(F.sum(F.col("rate") * F.col("n")).over(in_order), F.lit(0.0)))
+    plan = rates.withColumn("f0", F.coalesce(F.sum(F.col("rate").cast("decimal(12,9)") * F.col("n")).over(in_order), F.lit(0)).cast("double"))
     plan = stage(plan.withColumn("nb", F.ceil(F.sqrt("n")).cast("long")), "mix-plan")
     joined = light.join(plan, ["source_key", "size"], "left")
     h = F.xxhash64("id", F.lit(17))
@@ -133,3 +133,24 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             F.col("id").alias(id_col), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
         )
     )
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it (rows without words: once), with its columns.
+
+    Copies are found by id, source and size: by a broadcast of the counted plan when it is small, else by a shuffle.
+    Where that key repeats, the rows that share it are numbered, on both sides.
+    """
+    plan = stage(mix(df, id_col, text_col, source_col, cycle, cap).select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "mix-copies")
+    rows = plan.count()
+    keyed = df.withColumn("_words", word_count(text_col))
+    match = keyed[id_col].eqNullSafe(plan["_id"]) & keyed[source_col].eqNullSafe(plan["_source"]) & (keyed["_words"] == plan["_size"])
+    if plan.groupBy("_id", "_source", "_size").count().where("count > 1").isEmpty():
+        joined = keyed.join(small_or_shuffled(plan, 64, rows), match)
+    else:
+        keyed = keyed.withColumn("_k", F.row_number().over(W.partitionBy(id_col, source_col, "_words").orderBy(F.lit(1))))
+        plan = plan.withColumn("_k2", F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy("_copies")))
+        match = keyed[id_col].eqNullSafe(plan["_id"]) & keyed[source_col].eqNullSafe(plan["_source"]) & (keyed["_words"] == plan["_size"]) & (keyed["_k"] == plan["_k2"])
+        joined = keyed.join(plan, match)
+    taken = joined.where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
