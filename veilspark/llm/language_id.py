@@ -13,12 +13,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._common import crc_mod
+from ._common import crc_mod, stage
 
 #: Labelled rows that the classifier is fitted on, at most about: rows are taken by a hash of their id.
 TRAIN_ROWS = 20_000
 #: Words, and n-grams of each length, that the model keeps per language, at most (the commonest).
-KEPT_WORDS, KEPT_GRAMS = 50_000, 20_000
+KEPT_WORDS, KEPT_GRAMS = 30_000, 10_000
 LONGEST = 5
 UNKNOWN = "und"
 #: Words that the certainty of a text is judged by, at most: evidence beyond them does not sharpen the score.
@@ -46,7 +46,7 @@ class Model:
         """``counts``: (language, n, key, count) with n = 0 for words."""
         self.languages = sorted({c[0] for c in counts})
         at = {lang: i for i, lang in enumerate(self.languages)}
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
+        self.tables: dict[int, dict[str, tuple[float, ...]]] = {}
         by: dict[int, dict[str, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
         total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
         for lang, n, key, c in counts:
@@ -59,11 +59,10 @@ class Model:
                 v = np.full(len(at), 0.5)
                 for i, c in row.items():
                     v[i] += c
-                table[key] = np.log(v / floor)
-        self.nothing = np.zeros(len(at))
-        self.memo: dict[str, np.ndarray] = {}
+                table[key] = tuple(np.log(v / floor).tolist())
+        self.nothing = (0.0,) * len(at)
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> tuple[float, ...]:
         """Log scores of one word in all languages: its own if known, else the mean over its known n-grams of the
         greatest length that has any; all alike if none is known."""
         found = self.tables.get(0, {}).get(word)
@@ -71,30 +70,43 @@ class Model:
             return found
         for n in range(LONGEST, 0, -1):
             table = self.tables.get(n, {})
-            known = [table[g] for g in grams_of(word, n) if g in table]
+            known = [v for g in grams_of(word, n) if (v := table.get(g))]
             if known:
-                return np.mean(known, axis=0)
+                k = len(known)
+                return tuple([sum(c) / k for c in zip(*known, strict=True)])
         return self.nothing
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None, scores: _Scores) -> tuple[str, float]:
         """Language and score; ``und`` with 0 for a text without letters, or when nothing was learned."""
         words = words_of(text) if text and _LETTER.search(text) else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total = self.nothing.copy()
-        for w, n in Counter(words).items():
-            v = self.memo.get(w)
-            if v is None:
-                if len(self.memo) >= _MEMO:
-                    self.memo.clear()
-                v = self.memo[w] = self.word(w)
-            total += n * v
-        mean = total / len(words)
+        mean = scores.of(words).sum(axis=0) / len(words)
         odds = np.exp((mean - mean.max()) * min(len(words), SHARPNESS))
         best = int(np.argmax(mean))
         return self.languages[best], float(odds[best] / odds.sum())
 
 
+class _Scores(dict):
+    """A worker's word scores: words by their row in a matrix, filled as words are met, started again when full."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model, self.rows = model, np.empty((_MEMO, len(model.languages)))
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        if i >= len(self.rows):  # one text with more new words than that
+            self.rows = np.concatenate((self.rows, np.empty_like(self.rows)))
+        self.rows[i] = self.model.word(word)
+        return i
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > _MEMO // 2:
+            self.clear()
+        return self.rows[np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter[tuple[str, str]] = Counter()
 
@@ -129,8 +141,13 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: in
         spread = 1 << 20
         usable = usable.where(F.pmod(F.xxhash64(id_col), F.lit(spread)) < F.lit(int(spread * rows / n)))
     counted = usable.select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(_count, "lang string, n int, key string, count long").groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
-    best = W.partitionBy("lang", "n").orderBy(F.col("count").desc(), "key")
-    kept = counted.withColumn("at", F.row_number().over(best)).where(F.col("at") <= F.when(F.col("n") == 0, KEPT_WORDS).otherwise(KEPT_GRAMS))
+    counted = stage(counted, "language-counts")
+    # The commonest are those from some count on; it is found from the numbers of keys per count, which are few.
+    most = F.when(F.col("n") == 0, KEPT_WORDS).otherwise(KEPT_GRAMS)
+    falling = W.partitionBy("lang", "n").orderBy(F.col("count").desc())
+    per_count = counted.groupBy("lang", "n", "count").agg(F.count("*").alias("keys")).withColumn("so_far", F.sum("keys").over(falling))
+    least = per_count.where(F.col("so_far") <= most).groupBy("lang", "n").agg(F.min("count").alias("least"))
+    kept = counted.join(F.broadcast(least), ["lang", "n"]).where("count >= least")  # one row per language and length
     return Model([tuple(r) for r in kept.select("lang", "n", "key", "count").toPandas().itertuples(index=False)])
 
 
@@ -145,12 +162,20 @@ def identify(df: DataFrame, training: DataFrame | None = None, id_col: str = "do
 
     @F.pandas_udf("lang string, score double")
     def predict(texts):
-        got = [sent.value.predict(t) for t in texts]
+        key = id(sent.value)
+        if key not in _WORKER:
+            _WORKER.clear()
+            _WORKER[key] = _Scores(sent.value)
+        got = [sent.value.predict(t, _WORKER[key]) for t in texts]
         return pd.DataFrame({"lang": [g[0] for g in got], "score": [g[1] for g in got]})
 
     return df.withColumn("_p", predict(F.col(text_col))).withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score")}).drop("_p")
 
 
+#: The scores that this worker process has so far.
+_WORKER: dict[int, _Scores] = {}
+
+
 def held_out(id_col: str = "doc_id", modulus: int = 3, rest: int = 1) -> Column:
     """Whether a row is kept out of the learning: by crc32 of its id as text (null: empty text)."""
     return crc_mod(id_col, modulus) == rest
