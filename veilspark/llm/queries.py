@@ -92,5 +92,54 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+_WORDS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p
+  FROM (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents)
+), g AS (
+  SELECT doc_id, p, string_agg(word, ' ') OVER r AS gram, count(*) OVER r AS n
+  FROM w WINDOW r AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING)
+)"""
+
+OP4_SQL = _WORDS_SQL.format(text="coalesce(text, '')", last=12) + """
+, owner AS (
+  SELECT gram, min(doc_id) AS least FROM g WHERE n = 13 GROUP BY gram
+), gone AS (
+  SELECT DISTINCT g.doc_id, g.p + k.k AS p
+  FROM g JOIN owner USING (gram) CROSS JOIN (SELECT unnest(range(13)) AS k) k
+  WHERE g.n = 13 AND owner.least < g.doc_id
+), kept AS (
+  SELECT w.doc_id, count(*) AS n_words, count(gone.p) AS n_removed, string_agg(w.word, ' ' ORDER BY w.p) FILTER (WHERE gone.p IS NULL) AS text
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.p = gone.p GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+OP5_SQL = _WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", last=4) + """
+, s AS (
+  SELECT DISTINCT doc_id, gram FROM g WHERE n = 5
+  UNION
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) FROM w GROUP BY doc_id HAVING count(*) < 5
+), size AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS joint FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * joint >= 80 * (x.n + y.n - joint)
+), reach AS (
+  SELECT a, b FROM link
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+), degree AS (
+  SELECT a, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, least(d.doc_id, coalesce(least.b, d.doc_id)) AS component_id, coalesce(degree.n_links, 0) AS n_links
+FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least ON least.a = d.doc_id LEFT JOIN degree ON degree.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_uniform_threshold": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op4_substring_dedup": OP4_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_uniform_threshold": OP6_SQL, "op8_exact_dedup": OP8_SQL}
