@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import ordinal
+
 # The person pool, in order.
 PERSONS = (
     "Alice Anderson", "Maria Rodriguez", "James Chen", "Olivia Patel", "Liam Nakamura", "Sophia Williams",
@@ -32,12 +34,11 @@ def fake_value(label: Column, i: Column) -> Column:
 def dictionary(found: DataFrame, order: list[str]) -> DataFrame:
     """``label, text, fake`` of the distinct texts in ``found`` (columns label, text and ``order``).
 
-    The numbering is global per label, as consistent fakes need; only distinct texts take part in it, after a partial
-    aggregation of every occurrence to its first place.
+    The numbering is global per label, as consistent fakes need. Occurrences are aggregated to their first place, and
+    the distinct texts are numbered by ranges, so that no task holds all of a label.
     """
     first = found.groupBy("label", "text").agg(F.min(F.struct(*order)).alias("first"))
-    i = F.row_number().over(W.partitionBy("label").orderBy("first")) - 1
-    return first.select("label", "text", fake_value(F.col("label"), i).alias("fake"))
+    return ordinal(first, "label", "first", "i").select("label", "text", fake_value(F.col("label"), F.col("i")).alias("fake"))
 
 
 def faked(df: DataFrame, key: list[str], order: list[str], text_col: str, spans_col: str, out_col: str) -> DataFrame:

@@ -107,3 +107,19 @@ def banded_attention(rows: DataFrame, seq: str, pos: str, vector: str, value: st
     joined = scores.withColumn("top", top).join(rows.select(F.col(seq).alias("seq"), F.col(pos).alias("k"), F.col(value).alias("v")), ["seq", "k"])
     e = F.exp(F.col("score") - F.col("top"))
     return joined.groupBy("seq", "q").agg((F.sum(e * F.col("v")) / (F.sum(e) + F.exp(F.lit(sink) - F.first("top")))).alias("value"))
+
+
+def expert_histogram(routed: DataFrame, chosen: str = "chosen") -> DataFrame:
+    """``expert, picks, share`` of router choices (an array of structs with ``index``)."""
+    picks = routed.select(F.explode(chosen).alias("c")).groupBy(F.col("c.index").alias("expert")).agg(F.count("*").alias("picks"))
+    return picks.select("expert", "picks", (F.col("picks") / F.sum("picks").over(W.partitionBy())).alias("share"))  # a row per expert
+
+
+def cosine_similarities(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """``a, b, cosine`` of all pairs a < b of a small table of vectors (one per expert): joined by component, so that
+    only products are aggregated."""
+    flat = vectors.select(F.col(key).alias("k"), F.posexplode(vector).alias("i", "v"))
+    norm = flat.groupBy("k").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    unit = flat.join(norm, "k").select("k", "i", (F.col("v") / F.col("norm")).alias("v"))
+    left, right = unit.select(F.col("k").alias("a"), "i", F.col("v").alias("x")), unit.select(F.col("k").alias("b"), "i", F.col("v").alias("y"))
+    return left.join(right, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))

@@ -447,3 +447,24 @@ def offsets_and_preview(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").withColumn("t", F.concat(F.lit("\U0001f600"), "text"))
     n = F.length("t")
     return docs.select("doc_id", n.cast("long").alias("code_points"), T.utf16_offset(F.col("t"), n).cast("long").alias("utf16_units"), F.length(T.preview(F.col("text"))).alias("preview_length"))
+
+
+@query(
+    f"""WITH r AS (SELECT vec_id, i - 1 AS expert, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM {_UNNESTED})
+SELECT expert, count(*) AS picks, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM r WHERE k <= 4 GROUP BY expert"""
+)
+def expert_histogram(spark, sf_dir):
+    routed = _vectors(spark, sf_dir).select(K.router_top_k(F.col("x"), 4).alias("chosen"))
+    return K.expert_histogram(routed).select(F.col("expert").cast("long").alias("expert"), "picks", F.round("share", 6).alias("share"))
+
+
+@query(
+    f"""WITH m AS (SELECT label AS k, i, avg(v) AS v FROM {_UNNESTED} u JOIN embeddings e ON u.vec_id = e.vec_id GROUP BY 1, 2),
+n AS (SELECT k, i, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS v FROM m)
+SELECT x.k AS a, y.k AS b, round(sum(x.v * y.v), 5) AS cosine FROM n x JOIN n y ON x.i = y.i AND x.k < y.k GROUP BY 1, 2"""
+)
+def expert_cosine(spark, sf_dir):
+    flat = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
+    means = flat.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    vectors = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("x"))
+    return K.cosine_similarities(vectors, "label", "x").select("a", "b", F.round("cosine", 5).alias("cosine"))
