@@ -49,7 +49,9 @@ def _rate(lam: Column, z: Column, cap: float) -> Column:
 
 def balance(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
     """Newton on the dual: ``source, lam, mean`` for each source with words; ``classes`` is (source, size, n)."""
-    base = classes.join(F.broadcast(targets.select("source_key", "source_size", "target", "n_docs")), "source_key").where("source_size > 0")
+    n_sources = targets.count()
+    small = lambda df: small_or_shuffled(df, 64, n_sources)  # noqa: E731  one row per source
+    base = classes.join(small(targets.select("source_key", "source_size", "target", "n_docs")), "source_key").where("source_size > 0")
     base = base.withColumn("z", F.col("size") * F.col("n_docs") / F.col("source_size"))
     base = stage(base, "mix-classes")
     state = stage(
@@ -62,7 +64,7 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFra
         r = _rate(F.col("lam"), F.col("z"), cap)
         sums = (
             base.select("source_key", "size", "n", "z")
-            .join(F.broadcast(state.where("not done").select("source_key", "lam")), "source_key")
+            .join(small(state.where("not done").select("source_key", "lam")), "source_key")
             .groupBy("source_key")
             .agg(
                 F.sum(F.col("n") * F.col("size") * r).alias("f"),
@@ -73,13 +75,13 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFra
         lo = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
         # A Newton step, or while it leaves the bracket a doubling of the multiplier or the bracket's middle.
-        newton = F.col("lam") - gap / F.col("slope")
+        newton = F.col("lam") - gap / F.when(F.col("slope") > 0, F.col("slope"))
         wide = (hi - lo) > 1e5
         other = F.when(wide, F.when(gap < 0, F.greatest(F.col("lam") * 2, F.lit(0.5))).otherwise(F.least(F.col("lam") * 2, F.lit(-0.5)))).otherwise((lo + hi) / 2)
         fits = (F.col("slope") > 0) & (newton > lo) & (newton < hi) & (F.abs(newton - F.col("lam")) <= F.greatest(F.abs(F.col("lam")), F.lit(4.0)))
         done = F.col("done") | (F.abs(gap) <= F.col("target") * TOLERANCE) | ((hi - lo) < 1e-12) | (F.col("lam") > 1e4)
         state = stage(
-            state.join(F.broadcast(sums), "source_key", "left").select(
+            state.join(small(sums), "source_key", "left").select(
                 "source_key",
                 "target",
                 "source_size",
@@ -92,7 +94,7 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFra
         )
         if state.where("not done").isEmpty():
             break
-    return base.join(F.broadcast(state.select("source_key", "lam")), "source_key").select(
+    return base.join(small(state.select("source_key", "lam")), "source_key").select(
         "source_key", "size", "n", F.when(F.col("target") >= F.col("source_size") * cap, F.lit(float(cap))).otherwise(_rate(F.col("lam"), F.col("z"), cap)).alias("rate")
     ).withColumn("rate", F.round("rate", 9))  # sums of doubles differ in their last bits from run to run
 
@@ -103,8 +105,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ``size`` is the text's words (null: 0), ``taken`` = copies * size with at most ``cap`` copies. A null source is a
     source of its own. Rows without words get rate 1 and take nothing. Equal rows are interchangeable; ids may repeat
     or be null. Ranks inside a class come from hashed sub-buckets, about the root of the class's count, so a class of
-    a third of all rows is spread too. Results depend on the rows alone, not on their partitioning. Sources are few:
-    their table is joined by broadcast after Spark has aggregated it.
+    a third of all rows is spread too. Results depend on the rows alone, not on their partitioning. The table of
+    sources is broadcast when its counted rows are few, else joined by shuffle.
     """
     key = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col)))
     light = stage(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("source_key"), word_count(text_col).alias("size")), "mix")
@@ -128,7 +130,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     copies = F.when(F.col("rate").isNull(), F.lit(1)).otherwise(F.least(F.lit(cap), f(F.col("_i") + 1) - f(F.col("_i")))).cast("int")
     return (
         ranked.withColumn("copies", copies)
-        .join(F.broadcast(targets.select("source_key", "source_size", "target")), "source_key")
+        .join(small_or_shuffled(targets.select("source_key", "source_size", "target"), 64), "source_key")
         .select(
             F.col("id").alias(id_col), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
         )
