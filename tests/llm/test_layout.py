@@ -29,6 +29,8 @@ def text_of(page, template=frozenset()):
         ("<article><p>a</p><aside>s</aside><div class=comments><p>c</div><form>q<input></form><p>b</article>", "a b"),
         ("<script>var t='</p>';</script><style>p{}</style><p>x</p><!-- c --><p>y", "x y"),
         ("<main><header><h1>H</h1><p>by</p></header><p>t</main><header>site</header>", "H t"),
+        ("<main><article><p>a</article><p>next</main><aside><article>teaser</article></aside>", "a"),
+        ("<div class='with-sidebar'><p>text</div><div class='sidebar'>s</div>", "text"),
         ("a < b and 3 > 2", "a < b and 3 > 2"),
         ("<ul><li>x<li>y</ul><table><tr><td>1<td>2</table>", "x y 1 2"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),

@@ -51,6 +51,7 @@ _FURNITURE = frozenset(
     "navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related "
     "recommended recommendations widget widgets pagination pager skip toolbar search login advertorial outbrain taboola teaser".split()
 )
+_HOLDS = frozenset("has with without no".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
@@ -159,7 +160,8 @@ def is_furniture(e: Element, in_main: bool) -> bool:
     if not named:
         return False
     words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())
-    return not _FURNITURE.isdisjoint(words)
+    # "has-sidebar" and the like name what a container holds, not what it is.
+    return not _FURNITURE.isdisjoint(words) and _HOLDS.isdisjoint(words)
 
 
 def _digest(tree: Element) -> None:
@@ -187,16 +189,20 @@ def _digest(tree: Element) -> None:
 
 
 def roots(tree: Element) -> tuple[list[Element], bool]:
-    """Where the text is: the outermost articles and mains that are not furniture, else the whole tree."""
-    found: list[Element] = []
-    stack = [tree]
-    while stack:
-        e = stack.pop()
-        if e.tag in ("article", "main") and not is_furniture(e, True):
-            found.append(e)
-        else:
-            stack += [c for c in reversed(e.children) if not isinstance(c, str)]
-    return (found, True) if found else ([tree], False)
+    """Where the text is: the outermost articles outside of furniture; else those inside it (an advert that was never
+    closed may hold the page); else the mains; else the whole tree."""
+    for tag, everywhere in (("article", False), ("article", True), ("main", False)):
+        found: list[Element] = []
+        stack = [tree]
+        while stack:
+            e = stack.pop()
+            if e.tag == tag and not is_furniture(e, True):
+                found.append(e)
+            elif everywhere or e is tree or not is_furniture(e, False):
+                stack += [c for c in reversed(e.children) if not isinstance(c, str)]
+        if found:
+            return found, True
+    return [tree], False
 
 
 def candidates(tree: Element) -> set[int]:
