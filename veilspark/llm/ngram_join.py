@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard self-join with prefix trees.
 
 1. Each document becomes its set of hashed word n-grams; equal sets become one *class* (copies go no further).
-2. Sets are ordered globally, common n-grams last. Similar sets must share one of their first n-grams, so classes
-   that share none of those are apart; the others fall into families (connected by shared first n-grams).
+2. Every n-gram learns in how many chunks of documents it stands, and sets are ordered globally, rare n-grams first.
+   Similar sets must share one of their first n-grams, so a class whose first n-grams stand nowhere else is settled;
+   the others fall into families (connected by shared first n-grams).
 3. Each family is joined in a prefix tree over its ordered sets. A search walks shared paths once, carries the
    partial overlap, and leaves a subtree when the n-grams already missed on either side, against the lengths below,
    rule the threshold out. A family above a bounded block is cut into blocks and every pair of blocks is a task, so
@@ -16,21 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import BROADCAST_BYTES, stage
 from ._components import components
-from ._exchange import Chunk, bounds, chunks, parts_for, rows_of, squeeze, unsqueeze, with_replies
+from ._exchange import Chunk, ask, bounds, chunks, parts_for, rows_of, squeeze, unsqueeze, with_replies
 from ._words import FOLD, doc_of_word, gram_hashes, inside, mix64, word_hashes, word_spans
 
 _U = np.uint64
 #: N-grams of a family that one block holds, about, and n-grams that one joining task gets, about.
 BLOCK_GRAMS = 24_000
 TASK_GRAMS = 200_000
-#: Common n-grams that are ordered last, at most: only the speed depends on them.
-COMMON_GRAMS = 100_000
-COMMON_IN_CHUNK = 4
+#: Words of the corpus for which one task matches first n-grams: few of them stand in two classes, and a pair of
+#: classes that shares many of them is found once per task.
+FIRST_GRAM_WORDS = 10_000_000
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +82,10 @@ class _Sets:
         self.distinct = np.zeros(len(order), dtype=bool)
         self.distinct[order[~same]] = True
         self.distinct &= self.size > 0
+        if "lead" in row:  # classes of which this chunk holds the first document of all
+            leading = np.zeros(len(chunk), dtype=bool)
+            leading[row["lead"] or []] = True
+            self.distinct &= leading
 
     def of_classes(self) -> tuple[np.ndarray, np.ndarray]:
         """N-grams of the distinct classes, with each one's document."""
@@ -88,22 +93,69 @@ class _Sets:
         keep = self.distinct[doc]
         return self.grams[keep], doc[keep]
 
-    def first_grams(self, common: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The n-grams of each class that one of any similar set's must equal: in global order (common ones last, then
-        by hash), all but as many as a similar set must overlap, less one."""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """N-grams of the distinct classes and their documents, the sorted distinct 48-bit keys of the n-grams, and
+        each n-gram's place among those. (Equal keys of different n-grams only make both look more common.)"""
         grams, doc = self.of_classes()
-        last = np.zeros(len(grams), dtype=np.int64)
-        if len(common):
-            i = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-            last = np.where(common[i] == grams, rank[i], 0)
-        order = np.lexsort((grams, last, doc))
-        grams, doc = grams[order], doc[order]
-        begin = np.searchsorted(doc, doc)
+        keys, place = np.unique(mix64(grams) >> _U(16), return_inverse=True)
+        return grams, doc, keys, place
+
+    def first_grams(self, replies: list[bytes] | None, parts: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each class's first n-grams (in global order all but as many as a similar set must overlap, less one)
+        those that stand in another class."""
+        grams, doc, keys, place = self.keys()
+        rarity = _unpacked(replies, np.diff(_key_bounds(keys, parts)))
+        # In this chunk alone, but in several of its classes: such n-grams rank with those of two chunks.
+        rarity = np.where((rarity == 0) & (np.bincount(place, minlength=len(keys)) > 1), 1, rarity)[place]
+        order = np.lexsort((grams, rarity, doc))
+        grams, doc, rarity = grams[order], doc[order], rarity[order]
         size = self.size[doc]
-        keep = np.arange(len(grams)) - begin < size - least_overlap(size, percent) + 1
+        keep = np.arange(len(grams)) - np.searchsorted(doc, doc) < size - least_overlap(size, percent) + 1
+        keep &= rarity > 0
         return grams[keep], doc[keep]
 
 
+def _key_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    return bounds(keys << _U(16), parts)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted 48-bit keys as 32-bit steps; the rare longer steps keep their high bits apart."""
+    step = np.diff(keys, prepend=_U(0))
+    far = np.flatnonzero(step >> _U(32))
+    head = np.array([len(far)], dtype=np.uint32)
+    return b"".join((head.tobytes(), far.astype(np.uint32).tobytes(), (step[far] >> _U(32)).astype(np.uint32).tobytes(), step.astype(np.uint32).tobytes()))
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, dtype=np.uint32)
+    n = int(x[0])
+    step = x[1 + 2 * n :].astype(_U)
+    step[x[1 : 1 + n]] |= x[1 + n : 1 + 2 * n].astype(_U) << _U(32)
+    return np.cumsum(step, dtype=_U)
+
+
+def _chunk_counts(payloads: list[bytes]) -> list[bytes]:
+    """Two bits per key: in one chunk, in 2 or 3, in up to 15, in more."""
+    arrays = [_unpack(p) for p in payloads]
+    _, place, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    level = np.searchsorted([2, 4, 16], counts, side="right").astype(np.uint8)[place]
+    out, at = [], 0
+    for a in arrays:
+        part = level[at : at + len(a)]
+        out.append(np.packbits(np.concatenate((part & 1, part >> 1))).tobytes())
+        at += len(a)
+    return out
+
+
+def _unpacked(replies: list[bytes] | None, counts: np.ndarray) -> np.ndarray:
+    out = [np.zeros(0, dtype=np.int64)]
+    for r, n in zip(replies or [], (int(c) for c in counts if c), strict=True):
+        b = np.unpackbits(np.frombuffer(r, dtype=np.uint8), count=2 * n).astype(np.int64)
+        out.append(b[:n] + 2 * b[n:])
+    return np.concatenate(out)
+
+
 def _star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted order's distinct keys, each one's least node, and the distinct (least, other) pairs of nodes."""
     order = np.lexsort((nodes, keys))
@@ -250,31 +302,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kinds = stage(kinds, "near-classes")
     reps = rows.where("size > 0").join(kinds.select("fa", "fb", "size", "rep"), ["fa", "fb", "size"]).select("node", "rep")
 
-    def common(batches):
-        for row in rows_of(batches):
-            grams, counts = np.unique(_Sets(row, n).of_classes()[0], return_counts=True)
-            keep = counts >= COMMON_IN_CHUNK
-            yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["gram", "n"])
+    parts = parts_for(spark, words)
+    # One chunk speaks for each class: copies send nothing.
+    lead = stage(kinds.groupBy(_chunk_of("rep").alias("chunk_id")).agg(F.collect_list(_place_of("rep").cast("int")).alias("lead")), "near-lead")
+    leading = table.join(F.broadcast(lead) if kinds.count() * 8 <= BROADCAST_BYTES else lead, "chunk_id", "left")
+
+    def ask_counts(row):
+        keys = _Sets(row, n).keys()[2]
+        cut = _key_bounds(keys, parts)
+        for p, (b, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if e > b:
+                yield p, _pack(keys[b:e])
 
-    top = table.mapInArrow(common, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "gram").limit(COMMON_GRAMS).toPandas()
-    order = np.argsort(top["gram"].to_numpy().view(_U)) if len(top) else np.zeros(0, dtype=np.int64)
-    late = spark.sparkContext.broadcast((top["gram"].to_numpy(dtype=np.int64).view(_U)[order], top["n"].to_numpy(dtype=np.int64)[order]))
-    parts = parts_for(spark, words // 4)
+    told = with_replies(leading, ask(leading, ask_counts, _chunk_counts, "counts"), "counts")
+    meeting = max(8, words // FIRST_GRAM_WORDS)
 
     def send(batches):
         for row in rows_of(batches):
             s = _Sets(row, n)
-            grams, doc = s.first_grams(*late.value, percent)
+            grams, doc = s.first_grams(row["counts"], parts, percent)
             keys, nodes, pairs = _star(mix64(grams), s.node[doc])  # first n-grams are low hashes: spread them again
-            cut = bounds(keys, parts)
+            cut = bounds(keys, meeting)
             out = [(p, squeeze(keys[b:e].tobytes() + nodes[b:e].tobytes())) for p, (b, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > b]
             # Pairs found inside the chunk ride along to an answerer of the chunk's own.
-            out.append((parts + row["chunk_id"] % parts, pairs.tobytes()))
+            out.append((meeting + row["chunk_id"] % meeting, pairs.tobytes()))
             yield pa.RecordBatch.from_pydict({"p": [p for p, _ in out], "payload": [x for _, x in out]}, schema=pa.schema([("p", pa.int32()), ("payload", pa.binary())]))
 
     def meet(t: pa.Table) -> pa.Table:
         payloads = t.column("payload").to_pylist()
-        if t.column("p")[0].as_py() >= parts:
+        if t.column("p")[0].as_py() >= meeting:
             pairs = np.frombuffer(b"".join(payloads), dtype=np.int64).reshape(-1, 2)
         else:
             halves = [np.frombuffer(unsqueeze(x), dtype=_U) for x in payloads]
@@ -283,7 +339,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             pairs = _star(keys, nodes)[2]
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    met = table.mapInArrow(send, "p int, payload binary").groupBy("p").applyInArrow(meet, "a long, b long")
+    met = told.mapInArrow(send, "p int, payload binary").groupBy("p").applyInArrow(meet, "a long, b long")
     met = stage(met.distinct(), "near-met")
     by_rep = met.join(reps.withColumnsRenamed({"node": "a", "rep": "ra"}), "a").join(reps.withColumnsRenamed({"node": "b", "rep": "rb"}), "b")
     families = stage(components(by_rep.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "near-families")
@@ -304,6 +360,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def _chunk_of(node: str) -> Column:
+    return F.shiftleft(F.shiftright(node, 36), 32) + F.shiftright(F.col(node), 16).bitwiseAND(F.lit((1 << 20) - 1))
+
+
+def _place_of(node: str) -> Column:
+    """The document's place in its chunk."""
+    return F.col(node).bitwiseAND(F.lit(65535))
+
+
 def _links(table: DataFrame, families: DataFrame, kinds: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows (a, b) that span each family's linked classes, and rows (node, links) that count each class's links."""
     members = families.join(kinds.select(F.col("rep").alias("node"), "size", "copies"), "node")
@@ -312,10 +377,9 @@ def _links(table: DataFrame, families: DataFrame, kinds: DataFrame, n: int, perc
     total = sizes.agg(F.sum(F.col("grams") * F.col("blocks"))).first()[0] or 0
     tasks = max(parts_for(table.sparkSession, 0), int(total // TASK_GRAMS) + 1)
     placed = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    chunk_id = F.shiftleft(F.shiftright("node", 36), 32) + F.shiftright(F.col("node"), 16).bitwiseAND(F.lit((1 << 20) - 1))
-    wanted = placed.groupBy(chunk_id.alias("chunk_id")).agg(F.collect_list(F.struct(F.col("node").bitwiseAND(F.lit(65535)).alias("i"), "node", "label", "block", "blocks", "copies")).alias("wanted"))
+    wanted = placed.groupBy(_chunk_of("node").alias("chunk_id")).agg(F.collect_list(F.struct(_place_of("node").alias("i"), "node", "label", "block", "blocks", "copies")).alias("wanted"))
     wanted = stage(wanted, "near-wanted")  # as many entries for a chunk as it has documents
-    full = table.join(F.broadcast(wanted) if families.count() * 64 <= 64 << 20 else wanted, "chunk_id")
+    full = table.join(F.broadcast(wanted) if families.count() * 64 <= BROADCAST_BYTES else wanted, "chunk_id")
 
     def ship(batches):
         for row in rows_of(batches):
@@ -367,4 +431,4 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     found = near_duplicates(df, id_col, text_col, n, percent).where(F.col(id_col) != F.col("component_id"))
     gone = stage(found.select(F.col(id_col).alias("_gone")).distinct(), "near-gone")
     rows = gone.count()
-    return df.join(F.broadcast(gone) if rows * 16 <= 64 << 20 else gone, df[id_col] == gone["_gone"], "left_anti")
+    return df.join(F.broadcast(gone) if rows * 16 <= BROADCAST_BYTES else gone, df[id_col] == gone["_gone"], "left_anti")
