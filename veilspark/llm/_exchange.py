@@ -26,12 +26,15 @@ CHUNK_SCHEMA = "chunk_id long, ids binary, known binary, offsets binary, body bi
 KEYS_PER_PART = 2_000_000
 
 
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(data: bytes | memoryview) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _ZIP.compress(data)
 
 
 def unsqueeze(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _UNZIP.decompress(data)
 
 
 class Chunk:

@@ -27,7 +27,7 @@ from ._words import FOLD, doc_of_word, gram_hashes, inside, mix64, word_hashes,
 
 _U = np.uint64
 #: N-grams of a family that one block holds, about, and n-grams that one joining task gets, about.
-BLOCK_GRAMS = 24_000
+BLOCK_GRAMS = 40_000
 TASK_GRAMS = 200_000
 #: Words of the corpus for which one task matches first n-grams: few of them stand in two classes, and a pair of
 #: classes that shares many of them is found once per task.
@@ -386,7 +386,7 @@ def _links(table: DataFrame, families: DataFrame, kinds: DataFrame, n: int, perc
             chunk = Chunk(row)
             out = []
             for w in row["wanted"]:
-                text, block, blocks = b" ".join(chunk.text(w["i"]).split()), w["block"], w["blocks"]
+                text, block, blocks = squeeze(b" ".join(chunk.text(w["i"]).split())), w["block"], w["blocks"]
                 for other in range(blocks):
                     i, j = min(block, other), max(block, other)
                     out.append((int(mix64(np.array([w["label"] + (i << 44) + (j << 24)], dtype=np.int64).view(_U))[0] % _U(tasks)), w["label"], i, j, int(block == j and i != j), w["node"], w["copies"], text))
@@ -397,7 +397,7 @@ def _links(table: DataFrame, families: DataFrame, kinds: DataFrame, n: int, perc
     def join(t: pa.Table) -> pa.Table:
         forest, links, span = _Forest(), {}, []
         for group in _groups_of(t):
-            nodes, copies, texts = group["node"], group["copies"], group["text"]
+            nodes, copies, texts = group["node"], group["copies"], [unsqueeze(x) for x in group["text"]]
             side = None if group["i"] == group["j"] else np.array(group["side"])
             for x, y in join_family(texts, n, percent, side):
                 a, b = nodes[x], nodes[y]
