@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import Chunk, ask, bits, bounds, chunks, parts_for, rows_of, squeeze, unsqueeze, with_replies
-from ._words import doc_of_word, double, gram_hashes, inside, word_hashes
+from ._words import doc_of_word, double, gram_hashes, inside, mix64, word_hashes
 
 _U = np.uint64
 
@@ -75,8 +75,9 @@ class _Walk:
         for k in range(span):
             chosen[k : k + n] |= (h[k : k + n] == least) & whole
         at = np.flatnonzero(chosen)
-        order, new = _groups(h[at], doc[at])
-        self.keys = h[at[order]][new]
+        spread = mix64(h[at])  # seeds are low hashes
+        order, new = _groups(spread, doc[at])
+        self.keys = spread[order][new]
         if not answered:
             return
         first, last = doc[at[order]][new], doc[at[order]][_ends(new)]
