@@ -13,23 +13,33 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from ._common import stage
+from ._words import slices
 
 #: Words in the lexicon, at most. They change the speed only.
 LEXICON_WORDS = 65_536
-#: Encoded words that a worker remembers, at most.
-MEMO_WORDS = 400_000
+#: Encoded words, and encoded parts between blanks, that a worker remembers, at most. The first ones stay: common
+#: words are met early, and rare ones would only push each other out.
+MEMO_WORDS, MEMO_PARTS = 400_000, 150_000
+#: Distinct words that a task counts before it passes them on.
+COUNTED_WORDS = 300_000
+_BITS = 24
+_MASK, _NEVER = (1 << _BITS) - 1, 1 << 62
 
 # The published pre-tokenisation pattern of byte-level BPE, with Unicode white space spelled out.
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -62,19 +72,34 @@ class Vocabulary:
             self.pieces[i] = t.encode()
         single = {self.pieces[i]: i for t, i in ids.items() if len(t) == 1}
         self.byte_ids = [single[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # (left id, right id) -> (rank, merged id), both packed into one number
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a] << _BITS | ids[b]] = rank << _BITS | ids[a + b]
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the adjacent pair of lowest rank, leftmost first, is merged until none is known."""
         ids = [self.byte_ids[b] for b in word]
-        merges, n = self.merges, len(word)
-        if n < 2:
-            return ids
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        heap = [(rank, i, new, a, b) for rank, new, i, a, b in heap]
+        return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        get = self.merges.get
+        ranks = [get(a << _BITS | b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (m := min(ranks)) != _NEVER:
+            i = ranks.index(m)
+            ids[i] = m & _MASK
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << _BITS | ids[i], _NEVER)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << _BITS | ids[i + 1], _NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """With a heap and links between neighbours: O(n log n)."""
+        get, n = self.merges.get, len(ids)
+        heap = [(m >> _BITS, i, m & _MASK, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get(ids[i] << _BITS | ids[i + 1]))]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
@@ -85,13 +110,16 @@ class Vocabulary:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, m[1], new, ids[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
+                if m := get(new << _BITS | ids[k]):
+                    heapq.heappush(heap, (m >> _BITS, i, m & _MASK, new, ids[k]))
+            if (h := before[i]) >= 0 and (m := get(ids[h] << _BITS | new)):
+                heapq.heappush(heap, (m >> _BITS, h, m & _MASK, ids[h], new))
         return [i for i in ids if i >= 0]
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
+
 class Transducer:
     """The compiled lexicon: ``find(word)`` gives the word's ids or None."""
 
@@ -101,30 +129,31 @@ class Transducer:
         states, arcs, words, ids = self._HEAD.unpack_from(data, 0)
         view, at = memoryview(data), self._HEAD.size
 
-        def part(kind: str, n: int) -> np.ndarray:
+        def part(kind: str, n: int) -> memoryview:
             nonlocal at
-            out = np.frombuffer(view, dtype=kind, count=n, offset=at)
-            at += -(-out.nbytes // 8) * 8
+            size = n * (4 if kind == "I" else 1)
+            out = view[at : at + size].cast(kind)
+            at += -(-size // 8) * 8
             return out
 
-        # Slices of the mapped file; only the small per-state tables become lists, for speed.
-        self.arc_from = part("<u4", states + 1)
-        self.final = part("u1", states)
-        self.target = part("<u4", arcs)
-        self.skip = part("<u4", arcs)
-        self.ids_from = part("<u4", words + 1)
-        self.ids = part("<u4", ids)
+        # Views of the mapped file: nothing is copied.
+        self.arc_from = part("I", states + 1)
+        self.final = part("B", states)
+        self.target = part("I", arcs)
+        self.skip = part("I", arcs)
+        self.ids_from = part("I", words + 1)
+        self.ids = part("I", ids)
         self.labels_at, self.data = at, data
 
     def find(self, word: bytes) -> list[int] | None:
-        state, place, arc_from, find, base = 0, 0, self.arc_from, self.data.find, self.labels_at
-        for k in range(len(word)):
-            lo = int(arc_from[state])
-            arc = find(word[k : k + 1], base + lo, base + int(arc_from[state + 1])) - base
+        arc_from, target, skip, find, base = self.arc_from, self.target, self.skip, self.data.find, self.labels_at
+        state = place = 0
+        for b in word:
+            arc = find(_BYTES[b], base + arc_from[state], base + arc_from[state + 1]) - base
             if arc < 0:
                 return None
-            place += int(self.skip[arc])
-            state = int(self.target[arc])
+            place += skip[arc]
+            state = target[arc]
         if not self.final[state]:
             return None
         return self.ids[self.ids_from[place] : self.ids_from[place + 1]].tolist()
@@ -183,14 +212,16 @@ class Transducer:
 
     @classmethod
     def mapped(cls, data: bytes) -> Transducer:
-        fd, path = tempfile.mkstemp()
-        try:
-            with os.fdopen(os.dup(fd), "wb") as f:
-                f.write(data)
-            return cls(mmap.mmap(fd, len(data), access=mmap.ACCESS_READ))
-        finally:
-            os.close(fd)
+        """The lexicon in a mapped file without a folder (or, where the system has none, an unlinked one)."""
+        if hasattr(os, "memfd_create"):
+            fd = os.memfd_create("lexicon")
+        else:
+            fd, path = tempfile.mkstemp()
             os.unlink(path)
+        with os.fdopen(fd, "wb") as f:
+            f.write(data)
+            f.flush()
+            return cls(mmap.mmap(f.fileno(), len(data), access=mmap.ACCESS_READ))
 
 
 @lru_cache(maxsize=1)
@@ -210,66 +241,93 @@ def pieces(text: str, special: dict[str, int]) -> Iterator[tuple[str, int | None
             yield part, special.get(part)
 
 
+#: Blanks beside other white space: only elsewhere may a text be cut at its blanks before pre-tokenisation.
+_CROWDED = re.compile(r"\s | \s")
+
+
 class Codec:
-    """Encoder and decoder of one worker."""
+    """Encoder and decoder of one worker.
+
+    Encoded pieces are kept packed (4 bytes an id), so that many fit, and are joined as bytes.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo: dict[str, tuple[int, ...]] = _Memo(self._word)
+        self.words: dict[str, bytes] = _Memo(self._word, MEMO_WORDS)
+        self.after_blank: dict[str, bytes] = _Memo(lambda part: self._run(" " + part), MEMO_PARTS)
         self.names = [str(i) for i in range(len(vocabulary.pieces))]
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         raw = word.encode()
         found = self.lexicon.find(raw) if self.lexicon else None
-        return tuple(self.vocabulary.merge(raw) if found is None else found)
+        return array("I", self.vocabulary.merge(raw) if found is None else found).tobytes()
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _run(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _pattern().findall(text)))
+
+    def packed(self, text: str) -> bytes:
+        out = []
         for part, special in pieces(text, self.vocabulary.special):
-            if special is None:
-                out += chain.from_iterable(map(self.memo.__getitem__, _pattern().findall(part)))
-            else:
-                out.append(special)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        return out
+            if special is not None:
+                out.append(array("I", (special,)).tobytes())
+            elif _CROWDED.search(part):
+                out.append(self._run(part))
+            else:  # single blanks between other characters: each begins a pre-token, so the parts are independent
+                first, *rest = part.split(" ")
+                out.append(self._run(first))
+                out += map(self.after_blank.__getitem__, rest)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return array("I", self.packed(text)).tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
 class _Memo(dict):
-    def __init__(self, make: Callable) -> None:
+    def __init__(self, make: Callable, most: int) -> None:
         super().__init__()
-        self._make = make
+        self._make, self._most = make, most
 
     def __missing__(self, key):
-        value = self[key] = self._make(key)
+        value = self._make(key)
+        if len(self) < self._most:
+            self[key] = value
         return value
 
 
 def frequent_words(df: DataFrame, text_col: str, special: dict[str, int], most: int) -> list[str]:
-    """The ``most`` commonest pre-tokens of all texts (ties by code point), counted over the whole column."""
+    """The pre-tokens of the commonest words, counted over all texts cut at blanks: of up to ``most`` words, and of
+    those that are equally common at the limit none. Pre-tokens are taken from a word as it stands after a blank."""
 
     def count(batches):
         words: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+            words.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part, is_special in pieces(text or "", special):
                     if is_special is None:
-                        words.update(_pattern().findall(part))
-                if len(words) > MEMO_WORDS:
-                    yield _counts(words)
-                    words.clear()
+                        words.update(part.split(" "))
+                if len(words) > COUNTED_WORDS:
+                    yield flush()
         if words:
-            yield _counts(words)
+            yield flush()
 
-    counted = df.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r[0] for r in counted.orderBy(F.col("n").desc(), "word").limit(most).select("word").collect()]
-
-
-def _counts(words: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+    counted = stage(df.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # Distinct counts are few (their sum is at most the corpus): the least count that fits is found from them.
+    least, total = None, 0
+    for n, words in sorted(((r["n"], r["words"]) for r in counted.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True):
+        if total + words > most:
+            break
+        least, total = n, total + words
+    found = [] if least is None else counted.where(F.col("n") >= least).select("word").collect()
+    return sorted({t for r in found for t in _pattern().findall(" " + r["word"])})
 
 
 class Encoder:
@@ -295,15 +353,22 @@ class Encoder:
         return get
 
     def encode(self, df: DataFrame, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-        """``df`` with the ids of each whole text (null: of the empty text) in ``out_col``."""
+        """``df`` with the ids of each whole text (null: of the empty text) in ``out_col``; a column of that name is
+        replaced. Rows go through in slices of some megabytes of text, so that memory does not follow the batch size."""
         get = self.codec()
+        kept = [c for c in df.columns if c != out_col]
 
-        @F.pandas_udf("array<int>")
-        def ids(texts):
+        def run(batches):
             codec = get()
-            return texts.map(lambda t: np.array(codec.encode(t or ""), dtype=np.int32))
-
-        return df.withColumn(out_col, ids(F.col(text_col)))
+            for batch in batches:
+                for rows, _, _ in slices(batch, text_col, 1 << 20):
+                    parts = [codec.packed(t.as_py() or "") for t in rows.column(rows.schema.get_field_index(text_col))]
+                    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*rows.schema.names, out_col])
+
+        schema = StructType([*df.select(*kept).schema.fields, StructField(out_col, ArrayType(IntegerType()))])
+        return df.select(*kept).mapInArrow(run, schema)
 
     def decode(self, df: DataFrame, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
         """``df`` with the text of each id array (null: empty text) in ``out_col``; ids must be of the vocabulary."""
