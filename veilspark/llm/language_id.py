@@ -23,7 +23,7 @@ LONGEST = 5
 UNKNOWN = "und"
 #: Words that the certainty of a text is judged by, at most: evidence beyond them does not sharpen the score.
 SHARPNESS = 10
-_MEMO, _FLUSH = 300_000, 200_000
+_MEMO, _FLUSH = 200_000, 150_000
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -46,7 +46,8 @@ class Model:
         """``counts``: (language, n, key, count) with n = 0 for words."""
         self.languages = sorted({c[0] for c in counts})
         at = {lang: i for i, lang in enumerate(self.languages)}
-        self.tables: dict[int, dict[str, tuple[float, ...]]] = {}
+        # Scores are packed (4 bytes a language): the tables stay in every worker.
+        self.tables: dict[int, dict[str, bytes]] = {}
         by: dict[int, dict[str, dict[int, int]]] = defaultdict(lambda: defaultdict(dict))
         total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
         for lang, n, key, c in counts:
@@ -59,21 +60,20 @@ class Model:
                 v = np.full(len(at), 0.5)
                 for i, c in row.items():
                     v[i] += c
-                table[key] = tuple(np.log(v / floor).tolist())
-        self.nothing = (0.0,) * len(at)
+                table[key] = np.log(v / floor).astype(np.float32).tobytes()
+        self.nothing = np.zeros(len(at), dtype=np.float32)
 
-    def word(self, word: str) -> tuple[float, ...]:
+    def word(self, word: str) -> np.ndarray:
         """Log scores of one word in all languages: its own if known, else the mean over its known n-grams of the
         greatest length that has any; all alike if none is known."""
         found = self.tables.get(0, {}).get(word)
         if found is not None:
-            return found
+            return np.frombuffer(found, dtype=np.float32)
         for n in range(LONGEST, 0, -1):
             table = self.tables.get(n, {})
             known = [v for g in grams_of(word, n) if (v := table.get(g))]
             if known:
-                k = len(known)
-                return tuple([sum(c) / k for c in zip(*known, strict=True)])
+                return np.frombuffer(b"".join(known), dtype=np.float32).reshape(len(known), -1).mean(axis=0)
         return self.nothing
 
     def predict(self, text: str | None, scores: _Scores) -> tuple[str, float]:
@@ -81,7 +81,7 @@ class Model:
         words = words_of(text) if text and _LETTER.search(text) else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        mean = scores.of(words).sum(axis=0) / len(words)
+        mean = scores.of(words).sum(axis=0, dtype=np.float64) / len(words)
         odds = np.exp((mean - mean.max()) * min(len(words), SHARPNESS))
         best = int(np.argmax(mean))
         return self.languages[best], float(odds[best] / odds.sum())
@@ -92,7 +92,7 @@ class _Scores(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.model, self.rows = model, np.empty((_MEMO, len(model.languages)))
+        self.model, self.rows = model, np.empty((_MEMO, len(model.languages)), dtype=np.float32)
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
