@@ -52,6 +52,22 @@ def test_templates(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_copies_are_no_template(spark):
+    same = "the same five hundred words over and over"
+    for wrap in ("<article><div class=body><p>{}</p></div></article>", "<body><div><p>{}</p></div></body>", "<body><p>{}</p></body>"):
+        rows = [(i, "http://a.example/", wrap.format(same if i < 6 else f"page {i} has text of its own")) for i in range(18)]
+        got = {r["page_id"]: r["main_text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+        assert {got[i] for i in range(6)} == {same} and got[9] == "page 9 has text of its own"
+    # an article that recurs whole, in sections, with another date each time; a small notice outside of it goes
+    body = "<div class=body><section>first part of it</section><section>second part of it</section><section>third part of it</section></div>"
+    rows = [(i, "http://a.example/", f"<article><div>day {i}</div>{body}<div>tell a friend</div></article>") for i in range(9)]
+    got = {r["page_id"]: r["main_text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"day {i} first part of it second part of it third part of it" for i in range(9)}
+
+
 def plain_best_fit(sizes, capacity):
     room, out = [], []
     for s in sizes:

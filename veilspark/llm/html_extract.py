@@ -1,8 +1,9 @@
 """Main text of web pages: site templates are found by counting hashed element subtrees per host and removed.
 
-Pass 1 parses every page, hashes each element subtree that could be furniture and counts hashes per host (counted
-inside each task first). Subtrees on many pages of their host are its template. Pass 2 parses again, deletes template
-subtrees and elements that are furniture by their kind, and joins the remaining blocks.
+Pass 1 parses every page, hashes each element subtree that could be furniture and counts, per host, the distinct page
+contents that each hash is on (copies of a page count once, wherever they are). Subtrees on many contents of their
+host are its template. Pass 2 parses again, deletes template subtrees and elements that are furniture by their kind, and
+joins the remaining blocks. A subtree that holds most of its article's (or page's) words is never deleted as template.
 
 A host's template has at most 1 / MIN_SHARE times the subtrees of its mean page, because a template subtree is on at
 least that share of the pages: lists per host stay small however many pages there are.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._common import BROADCAST_BYTES, stage
 
-#: A subtree is template when it is on at least this many and this share of a host's pages.
+#: A subtree is template when it is on at least this many and this share of a host's distinct page contents.
 MIN_PAGES, MIN_SHARE = 5, 0.3
 _FLUSH = 200_000
 
@@ -59,10 +60,10 @@ _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "digest", "has_text")
+    __slots__ = ("tag", "attrs", "children", "digest", "has_text", "weight")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children, self.digest, self.has_text = tag, attrs, [], 0, False
+        self.tag, self.attrs, self.children, self.digest, self.has_text, self.weight = tag, attrs, [], 0, False, 0
 
 
 def parse(text: str) -> Element:
@@ -222,8 +223,35 @@ def candidates(tree: Element) -> set[int]:
     return out
 
 
+def _weigh(top: Element, in_main: bool) -> None:
+    """Sets the weight of every subtree of ``top``: its words outside of furniture. A script without blanks counts by
+    its characters."""
+    order, stack = [], [top]
+    while stack:
+        e = stack.pop()
+        if e is not top and is_furniture(e, in_main):
+            continue
+        order.append(e)
+        stack += [c for c in e.children if not isinstance(c, str)]
+    for e in reversed(order):
+        for c in e.children:
+            if isinstance(c, str):
+                words = c.split()
+                e.weight += max(len(words), sum(map(len, words)) // 8)
+            else:
+                e.weight += c.weight
+
+
+#: Ends, on the stack of main_text, a subtree that is kept whole.
+_KEPT = object()
+
+
 def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
-    """The blocks that remain, in page order, white space folded, joined by one space."""
+    """The blocks that remain, in page order, white space folded, joined by one space.
+
+    A recurring subtree with more than half of the words is the text itself, met on pages that differ around it: it is
+    kept, and so is all that recurs inside it.
+    """
     blocks: list[str] = []
     run: list[str] = []
 
@@ -234,15 +262,26 @@ def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
 
     tops, in_main = roots(tree)
     for top in tops:
+        if template:
+            _weigh(top, in_main)
         stack: list = [top]
+        whole = False
         while stack:
             e = stack.pop()
             if e is None:
                 flush()
+            elif e is _KEPT:
+                whole = False
             elif isinstance(e, str):
                 run.append(e)
-            elif e is not top and (is_furniture(e, in_main) or (e.digest in template and not (in_main and e.tag in _PROSE) and e.tag not in ("article", "main", "body", "html"))):
+            elif e is not top and is_furniture(e, in_main):
                 flush()
+            elif e is not top and not whole and e.digest in template and not (in_main and e.tag in _PROSE) and e.tag not in ("article", "main", "body", "html"):
+                if 2 * e.weight > top.weight:
+                    whole = True
+                    stack += [_KEPT, e]
+                else:
+                    flush()
             elif e.tag == "header" and in_main:  # of an article's own header, its headings
                 stack += [None, *[c for c in reversed(e.children) if not isinstance(c, str) and c.tag in _HEADING], None]
             else:
@@ -260,30 +299,32 @@ def host_of(url: str | None) -> str:
     return m[1].rpartition("@")[2].lower() if m else ""
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pages: Counter[tuple[str, int]] = Counter()
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, digest, content``: which subtrees are on which page contents, each once until the set is sent."""
+    seen: set[tuple[str, int, int]] = set()
 
     def flush() -> pa.RecordBatch:
-        keys = list(pages)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array(np.array([k[1] for k in keys], dtype=np.uint64).view(np.int64)), pa.array([pages[k] for k in keys], pa.int64())], names=["host", "digest", "pages"])
-        pages.clear()
-        return out
+        hosts, digests, contents = zip(*seen, strict=True)
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(np.array(a, dtype=np.uint64).view(np.int64)) for a in (digests, contents))], names=["host", "digest", "content"])
 
     for batch in batches:
         for url, page in zip(batch.column(0), batch.column(1), strict=True):
             host = host_of(url.as_py())
-            pages[host, 0] += 1  # digest 0 counts the host's pages
-            for d in candidates(parse(page.as_py() or "")):
-                pages[host, d] += 1
-            if len(pages) > _FLUSH:
+            tree = parse(page.as_py() or "")
+            content = xxhash.xxh3_64_intdigest(main_text(tree, frozenset()))
+            seen.add((host, 0, content))  # digest 0 counts the host's contents
+            seen.update((host, d, content) for d in candidates(tree))
+            if len(seen) > _FLUSH:
                 yield flush()
-    if pages:
+    if seen:
         yield flush()
 
 
 def templates(df: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, template``: the hashes of the subtrees that recur across each host's pages."""
-    counts = stage(df.select(F.col(url_col).cast("string"), html_col).mapInArrow(_count, "host string, digest long, pages long").groupBy("host", "digest").agg(F.sum("pages").alias("pages")), "templates")
+    """``host, template``: the hashes of the subtrees that recur across each host's distinct page contents."""
+    contents = df.select(F.col(url_col).cast("string"), html_col).mapInArrow(_contents, "host string, digest long, content long").distinct()
+    counts = stage(contents.groupBy("host", "digest").agg(F.count("*").alias("pages")), "templates")
     hosts = stage(counts.where("digest = 0").select("host", F.col("pages").alias("of")), "hosts")
     often = counts.where((F.col("digest") != 0) & (F.col("pages") >= min_pages)).join(hosts, "host").where(F.col("pages") >= min_share * F.col("of"))
     return stage(often.groupBy("host").agg(F.collect_list("digest").alias("template")), "template")
@@ -292,7 +333,8 @@ def templates(df: DataFrame, url_col: str = "url", html_col: str = "html", min_p
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, <url_col>, main_text`` of every row; null html gives the empty text.
 
-    Repeated rows count as pages of their own; a null url belongs to the empty host. Extra columns are ignored.
+    Repeated rows are extracted alike and count once as pages of the host; a null url belongs to the empty host. Extra
+    columns are ignored.
     Templates are broadcast when their counted hashes are small, else joined by host, where Spark splits a hot host.
     """
     found = templates(df, url_col, html_col)
