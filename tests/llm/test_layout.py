@@ -68,6 +68,20 @@ def test_copies_are_no_template(spark):
     assert got == {i: f"day {i} first part of it second part of it third part of it" for i in range(9)}
 
 
+def test_template_of_few_pages(spark, monkeypatch):
+    # four layouts of a quarter each, a promotion on a tenth of the pages, and one host where all pages are alike
+    layout = lambda i: f"<div>layout {i % 4}</div>" + ("<div>buy now</div>" if i % 10 == 0 else "")
+    page = lambda i: f"<body>{layout(i)}<article><section>see {i % 4}</section><p>page {i} has text of its own</p></article></body>"
+    bare = lambda i: f"<body>{layout(i)}<div>page {i} has text of its own</div></body>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(60)] + [(i, "http://user@B.example/", bare(i)) for i in range(60, 120)] + [(120, None, None), (121, "http://a.example/", None)]
+    want = {i: f"page {i} has text of its own" for i in range(120)} | {120: "", 121: ""}
+    df = spark.createDataFrame(rows, PAGES).repartition(3)
+    assert {r["page_id"]: r["main_text"] for r in html_extract.extract(df).collect()} == want
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)  # lists too large for a broadcast
+    got = html_extract.extract(df.union(df)).collect()
+    assert len(got) == 244 and {r["page_id"]: r["main_text"] for r in got} == want
+
+
 def plain_best_fit(sizes, capacity):
     room, out = [], []
     for s in sizes:

@@ -5,12 +5,13 @@ contents that each hash is on (copies of a page count once, wherever they are).
 host are its template. Pass 2 parses again, deletes template subtrees and elements that are furniture by their kind, and
 joins the remaining blocks. A subtree that holds most of its article's (or page's) words is never deleted as template.
 
-A host's template has at most 1 / MIN_SHARE times the subtrees of its mean page, because a template subtree is on at
-least that share of the pages: lists per host stay small however many pages there are.
+What is template is decided by a number of pages, whatever the host's size and mix of layouts. A host's list may thus be
+long: a page looks up its own hashes in a broadcast of all lists, or, where those are large, gets its own by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from ._common import BROADCAST_BYTES, stage
 
-#: A subtree is template when it is on at least this many and this share of a host's distinct page contents.
-MIN_PAGES, MIN_SHARE = 5, 0.3
+#: A subtree is template when it is on at least this many of a host's distinct page contents. The share is there only for
+#: hosts of more than 5,000 contents, where a handful of pages may quote one another.
+MIN_PAGES, MIN_SHARE = 5, 0.001
 _FLUSH = 200_000
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -322,37 +324,77 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(df: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, template``: the hashes of the subtrees that recur across each host's distinct page contents."""
+    """``host, digest``: the hashes of the subtrees that recur across each host's distinct page contents."""
     contents = df.select(F.col(url_col).cast("string"), html_col).mapInArrow(_contents, "host string, digest long, content long").distinct()
     counts = stage(contents.groupBy("host", "digest").agg(F.count("*").alias("pages")), "templates")
     hosts = stage(counts.where("digest = 0").select("host", F.col("pages").alias("of")), "hosts")
     often = counts.where((F.col("digest") != 0) & (F.col("pages") >= min_pages)).join(hosts, "host").where(F.col("pages") >= min_share * F.col("of"))
-    return stage(often.groupBy("host").agg(F.collect_list("digest").alias("template")), "template")
+    return stage(often.select("host", "digest"), "template")
+
+
+def _page_key(url: str | None, page: str | None) -> str:
+    return hashlib.sha256(f"{url or ''}\0{page or ''}".encode()).hexdigest()
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``page, host, digest``: the subtrees that each page would like to know about."""
+    for batch in batches:
+        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if digests := candidates(parse(page or "")):
+                n = len(digests)
+                yield pa.RecordBatch.from_arrays([pa.array([_page_key(url, page)] * n), pa.array([host_of(url)] * n), pa.array(np.fromiter(digests, np.uint64, n).view(np.int64))], names=["page", "host", "digest"])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, <url_col>, main_text`` of every row; null html gives the empty text.
 
     Repeated rows are extracted alike and count once as pages of the host; a null url belongs to the empty host. Extra
-    columns are ignored.
-    Templates are broadcast when their counted hashes are small, else joined by host, where Spark splits a hot host.
+    columns are ignored. The lists of all hosts are broadcast when their measured bytes are small; else each page's
+    hashes are joined with them by host and hash, so that no row carries more than its own.
     """
     found = templates(df, url_col, html_col)
-    size = found.agg(F.sum(F.size("template")) * 8 + F.count("*") * 64).first()[0] or 0
-    url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    host = F.lower(F.regexp_replace(F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]*)", 1), "^.*@", ""))
-    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    joined = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
+    size = found.agg(F.sum(F.octet_length("host") + 8)).first()[0] or 0
+    pages = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.col(url_col).cast("string").alias("_url"))
+    if size > BROADCAST_BYTES:
+        return _extract_joined(pages, found).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "main_text")
+
+    rows = found.toArrow().sort_by([("host", "ascending")])
+    hosts, digests = rows.column("host").to_pylist(), rows.column("digest").to_numpy().view(np.uint64)
+    cuts = [k for k in range(len(hosts)) if k == 0 or hosts[k] != hosts[k - 1]]
+    lists = {hosts[k]: np.sort(digests[k:end]) for k, end in zip(cuts, [*cuts[1:], len(hosts)], strict=False)}
+    sent = df.sparkSession.sparkContext.broadcast(lists)
+
+    @F.pandas_udf("string")
+    def text(html_of: pd.Series, url_of: pd.Series) -> pd.Series:
+        out = []
+        for page, url in zip(html_of, url_of, strict=True):
+            tree, known = parse(page or ""), set()
+            of_host = sent.value.get(host_of(url))
+            if of_host is not None and (asked := candidates(tree)):
+                keys = np.fromiter(asked, np.uint64, len(asked))
+                at = np.minimum(np.searchsorted(of_host, keys), len(of_host) - 1)
+                known = set(keys[of_host[at] == keys].tolist())
+            out.append(main_text(tree, known))
+        return pd.Series(out, dtype=object)
+
+    return pages.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text("html", "_url").alias("main_text"))
+
+
+def _extract_joined(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """``id, url, main_text`` with each page's template hashes brought to it by joins, which Spark splits where hot."""
+    asked = pages.select("_url", "html").mapInArrow(_asked, "page string, host string, digest long").distinct()
+    known = asked.join(found, ["host", "digest"]).groupBy("page").agg(F.collect_list("digest").alias("template"))
+    key = F.sha2(F.concat(F.coalesce("_url", F.lit("")), F.lit("\0"), F.coalesce("html", F.lit(""))), 256)
 
     @F.pandas_udf("string")
     def text(html_of: pd.Series, template: pd.Series) -> pd.Series:
         out = []
         for page, hashes in zip(html_of, template, strict=True):
-            tree = parse(page or "")
-            known = set() if hashes is None else {int(h) & 0xFFFFFFFFFFFFFFFF for h in hashes}
-            if known:
+            tree, digests = parse(page or ""), set()
+            if hashes is not None:
                 _digest(tree)
-            out.append(main_text(tree, known))
+                digests = {int(h) & 0xFFFFFFFFFFFFFFFF for h in hashes}
+            out.append(main_text(tree, digests))
         return pd.Series(out, dtype=object)
 
-    return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text("html", "template").alias("main_text"))
+    return pages.withColumn("page", key).join(known, "page", "left").select("id", "url", text("html", "template").alias("main_text"))
