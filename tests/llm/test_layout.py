@@ -105,6 +105,18 @@ def test_best_fit_decreasing(sizes, capacity):
     assert got == plain_best_fit(sizes, capacity)
 
 
+@pytest.mark.parametrize("large,most,least", [({60_000: 10}, 120_000, 92_000), ({55_000: 9}, 110_000, 82_000), ({300_000: 1, 60_000: 9}, 300_000, 98_000), ({}, 24_325, 24_325)])
+def test_fit_into_with_large_groups(large, most, least):
+    classes = sorted((large | {s: 20 for s in range(1, 140)}).items(), reverse=True)
+    sizes = [s for s, n in classes for _ in range(n)]
+    bins = [b for n, b in sharding.fit_into(classes, 8) for _ in range(n)]
+    load = collections.Counter()
+    for s, b in zip(sizes, bins, strict=True):
+        load[b] += s
+    # groups of over half a share sit in twos where they must, and the others share evenly what is left
+    assert set(load) == set(range(8)) and max(load.values()) == most and min(load.values()) >= least
+
+
 def _docs(n=400, seed=3):
     rnd = random.Random(seed)
     rows = []

@@ -10,6 +10,7 @@ packing group by group. Groups find their bin by their rank in size order.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -99,21 +100,67 @@ def best_fit_decreasing(classes: Iterable[tuple[int, int]], capacity: int, most:
 
 
 def fit_into(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int]]:
-    """Packs into ``shards`` bins of the least capacity tried that holds everything.
+    """Packs into ``shards`` bins so that they come out near even. Segments as those of ``best_fit_decreasing``.
 
-    A group above an even share of what is left takes a bin alone, so that the others still come out even.
+    The capacity is bisected down to the least at which everything fits. A group above an even share of what is left
+    takes a bin alone. Where large groups ask for a capacity above the even share, the first bin stands as it is and
+    what is left is packed anew into the other bins, at a capacity of their own.
     """
-    left, alone, rest = sum(s * n for s, n in classes), [], [*classes]
-    while rest and shards - len(alone) > 1 and rest[0][0] * (shards - len(alone)) > left:
-        size, n = rest[0]
-        alone.append((1, len(alone)))
-        left -= size
-        rest[0:1] = [(size, n - 1)] if n > 1 else []
-    bins = shards - len(alone)
-    slack = 0
-    while (packed := best_fit_decreasing(rest, -(-left // bins) + slack, bins, len(alone))) is None:
-        slack = max(1, slack * 4)
-    return alone + packed
+    placed: list[tuple[int, int, int]] = []  # size, groups, bin
+    rest, at, fits = [*classes], 0, None
+    while rest:
+        bins, left = shards - at, sum(s * n for s, n in rest)
+        share = -(-left // bins)
+        if bins > 1 and rest[0][0] * bins > left:
+            first, fits = [(rest[0][0], 1)], None
+        else:
+            fits = _least_capacity(rest, bins, share, fits)
+            spread = _spread(rest, fits[1])
+            if bins == 1 or fits[0] - share <= share // 1000:
+                placed += [(s, n, at + b) for s, n, b in spread]
+                break
+            first = [(s, n) for s, n, b in spread if b == 0]
+            # The others' packing stands as a first fit of what is left.
+            fits = fits[0], [(n, b - 1) for _, n, b in spread if b]
+        placed += [(s, n, at) for s, n in first]
+        taken = Counter()
+        for s, n in first:
+            taken[s] += n
+        rest, at = [(s, n - taken[s]) for s, n in rest if n > taken[s]], at + 1
+    return [(n, b) for _, n, b in sorted(placed, key=lambda p: -p[0])]
+
+
+def _least_capacity(classes: list[tuple[int, int]], bins: int, share: int, fits: tuple | None) -> tuple[int, list[tuple[int, int]]]:
+    """The least capacity from ``share`` on, by bisection, and its packing; ``fits`` is one that is known to do."""
+    fails, step = share - 1, 0
+    while fits is None:
+        packed = best_fit_decreasing(classes, share + step, bins)
+        if packed is None:
+            fails, step = share + step, max(1, step * 4)
+        else:
+            fits = share + step, packed
+    while fits[0] - fails > 1:
+        mid = (fits[0] + fails) // 2
+        packed = best_fit_decreasing(classes, mid, bins)
+        if packed is None:
+            fails = mid
+        else:
+            fits = mid, packed
+    return fits
+
+
+def _spread(classes: list[tuple[int, int]], segments: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Segments over ``classes``, cut where the size changes: size, groups, bin."""
+    out, k, used = [], 0, 0
+    for n, shard in segments:
+        while n:
+            size, of = classes[k]
+            take = min(n, of - used)
+            out.append((size, take, shard))
+            n, used = n - take, used + take
+            if used == of:
+                k, used = k + 1, 0
+    return out
 
 
 def size_class(size: str) -> str:
