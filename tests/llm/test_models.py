@@ -152,3 +152,16 @@ def test_top_k(spark, group):
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).collect() == []
     few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")
     assert len(topk_search.top_k(few, F.col("vec_id") == 0, 10).collect()) == 3
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the quick brown fox", "en") for i in range(3000)] + [(5000 + i, f"zorp{'abcdefghij'[i]} glimf", "xx") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # far fewer rows than languages have, and less room than words of one count
+    model = language_id.fit(df, "doc_id", "text", "lang", rows=20, words=6, grams=10)
+    assert model.languages == ["en", "xx"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, rows=20).collect()}
+    assert all(got[i] == "en" for i in range(3000)) and all(got[5000 + i] == "xx" for i in range(10))
+    one = spark.createDataFrame([(i, " ".join(f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"), "yy") for i in range(1)], "doc_id long, text string, lang string")
+    kept = language_id.fit(one, "doc_id", "text", "lang", words=32).tables[0]
+    assert 16 <= len(kept) <= 48

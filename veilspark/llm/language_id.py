@@ -17,7 +17,9 @@ from ._common import crc_mod, stage
 
 #: Labelled rows that the classifier is fitted on, at most about: rows are taken by a hash of their id.
 TRAIN_ROWS = 20_000
-#: Words, and n-grams of each length, that the model keeps per language, at most (the commonest).
+#: But of each language at least about this many, or all it has.
+LANG_ROWS = 1_000
+#: Words, and n-grams of each length, that the model keeps per language, at most about (the commonest).
 KEPT_WORDS, KEPT_GRAMS = 30_000, 10_000
 LONGEST = 5
 UNKNOWN = "und"
@@ -132,33 +134,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> Model:
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, words: int = KEPT_WORDS, grams: int = KEPT_GRAMS) -> Model:
     """The model of the labelled rows (language and text not null). With more than ``rows`` of them, those with the
-    least hash of their id are taken, about that many, their whole texts."""
+    least hash of their id are taken, about that many, their whole texts; of a language that would have fewer than
+    LANG_ROWS, that many or all."""
+    spread = 1 << 20
+    lang, at = F.col(lang_col).cast("string"), F.pmod(F.xxhash64(id_col), F.lit(spread))
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = usable.count()
+    found = usable.groupBy(lang.alias("_lang")).agg(F.count("*").alias("n"), F.min(at).alias("least")).collect()  # a row per language
+    n = sum(r["n"] for r in found)
     if n > rows:
-        spread = 1 << 20
-        usable = usable.where(F.pmod(F.xxhash64(id_col), F.lit(spread)) < F.lit(int(spread * rows / n)))
+        cut = [(r["_lang"], max(r["least"] + 1, int(spread * max(rows / n, LANG_ROWS / r["n"])))) for r in found]
+        cuts = F.broadcast(labelled.sparkSession.createDataFrame(cut, "_lang string, _cut long"))
+        usable = usable.join(cuts, lang == F.col("_lang")).where(at < F.col("_cut"))
     counted = usable.select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(_count, "lang string, n int, key string, count long").groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
     counted = stage(counted, "language-counts")
-    # The commonest are those from some count on; it is found from the numbers of keys per count, which are few.
-    most = F.when(F.col("n") == 0, KEPT_WORDS).otherwise(KEPT_GRAMS)
+    # The commonest are those above some count, and as many of that count, by hash, as there is room for; it is found
+    # from the numbers of keys per count, which are few.
+    most = F.when(F.col("n") == 0, words).otherwise(grams)
     falling = W.partitionBy("lang", "n").orderBy(F.col("count").desc())
     per_count = counted.groupBy("lang", "n", "count").agg(F.count("*").alias("keys")).withColumn("so_far", F.sum("keys").over(falling))
-    least = per_count.where(F.col("so_far") <= most).groupBy("lang", "n").agg(F.min("count").alias("least"))
-    kept = counted.join(F.broadcast(least), ["lang", "n"]).where("count >= least")  # one row per language and length
+    room = F.least(F.lit(1.0), (most - F.col("so_far") + F.col("keys")) / F.col("keys"))
+    edge = per_count.withColumn("room", room).where("room > 0").groupBy("lang", "n").agg(F.min("count").alias("least"), F.min_by("room", "count").alias("room"))
+    by_hash = F.pmod(F.xxhash64("key"), F.lit(spread)) < F.col("room") * spread
+    kept = counted.join(F.broadcast(edge), ["lang", "n"]).where((F.col("count") > F.col("least")) | ((F.col("count") == F.col("least")) & by_hash))  # one row per language and length
     return Model([tuple(r) for r in kept.select("lang", "n", "key", "count").toPandas().itertuples(index=False)])
 
 
-def identify(df: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(df: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, words: int = KEPT_WORDS, grams: int = KEPT_GRAMS) -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (0 to 1) for each whole text.
 
-    Fitted on ``training`` (by default ``df`` itself). Null texts and texts without letters are ``und`` with score 0,
+    Fitted on ``training`` (by default ``df`` itself), within the bounds ``rows``, ``words`` and ``grams`` of fit(). Null texts and texts without letters are ``und`` with score 0,
     and so is everything when nothing could be learned. Ties go to the first language by code point.
     """
-    model = fit(df if training is None else training, id_col, text_col, lang_col)
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by KEPT_WORDS and KEPT_GRAMS per language
+    model = fit(df if training is None else training, id_col, text_col, lang_col, rows, words, grams)
+    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by words and grams per language
 
     @F.pandas_udf("lang string, score double")
     def predict(texts):
