@@ -3,7 +3,11 @@
 The corpus's most frequent words are encoded once and compiled into an acyclic automaton that shares prefixes and
 suffixes. Its arcs carry numbers that add up to a word's place in the lexicon, where its ids stand. The compiled form
 is a few flat arrays in one blob of bounded size: the driver broadcasts it, each worker puts it into an unlinked file
-of its own and maps that file. Words outside the lexicon are merged exactly, by rank, in O(n log n).
+of its own and maps that file.
+
+Texts go through in slices of some megabytes. The distinct words of a slice walk the transducer together, byte by
+byte; those that it does not know are merged exactly, by rank, all words of one length together (long words one by
+one, in O(n log n)). Nothing is remembered from slice to slice, so memory follows the slice and the vocabulary alone.
 """
 
 from __future__ import annotations
@@ -13,31 +17,29 @@ import heapq
 import json
 import mmap
 import os
-import re
 import struct
 import tempfile
-from array import array
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from ._common import stage
+from ._common import in_worker, stage
 from ._words import slices
 
 #: Words in the lexicon, at most. They change the speed only.
 LEXICON_WORDS = 65_536
-#: Encoded words, and encoded parts between blanks, that a worker remembers, at most. The first ones stay: common
-#: words are met early, and rare ones would only push each other out.
-MEMO_WORDS, MEMO_PARTS = 400_000, 150_000
-#: Distinct words that a task counts before it passes them on.
-COUNTED_WORDS = 300_000
+#: Bytes of text that are encoded, and counted, together; a longer text is taken alone.
+SLICE_BYTES, COUNT_BYTES = 4 << 20, 16 << 20
+#: Words up to this many bytes are merged together.
+TOGETHER = 32
 _BITS = 24
 _MASK, _NEVER = (1 << _BITS) - 1, 1 << 62
 
@@ -78,11 +80,77 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[a] << _BITS | ids[b]] = rank << _BITS | ids[a + b]
 
+        # The merges again, as an open hash table, and those of two bytes as a full table.
+        keys = np.fromiter(self.merges, dtype=np.int64, count=len(self.merges))
+        self._shift = 64 - max(1, int(keys.size * 2)).bit_length()
+        self.table_keys = np.full(1 << (64 - self._shift), -1, dtype=np.int64)
+        self.table = np.full(len(self.table_keys), _NEVER, dtype=np.int64)
+        left = np.arange(len(keys))
+        slot = self._slots(keys)
+        values = np.fromiter(self.merges.values(), dtype=np.int64, count=len(keys))
+        while len(left):
+            free = self.table_keys[slot[left]] == -1
+            _, first = np.unique(slot[left][free], return_index=True)
+            won = left[free][first]
+            self.table_keys[slot[won]], self.table[slot[won]] = keys[won], values[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) & (len(self.table) - 1)
+        self.bytes = np.array(self.byte_ids, dtype=np.int32)
+        two = np.arange(1 << 16)
+        self.of_two = self.ranks(self.bytes[two >> 8], self.bytes[two & 255])
+        self.piece_bytes, self.piece_from, self.piece_size = _flat(self.pieces)
+        self.name_bytes, self.name_from, self.name_size = _flat([b"%d," % i for i in range(size)])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self._shift)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Packed rank and merged id of each pair of ids; _NEVER where there is no merge."""
+        keys = a.astype(np.int64) << _BITS | b
+        slot = self._slots(keys)
+        there = self.table_keys[slot]
+        out = np.where(there == keys, self.table[slot], _NEVER)
+        open_ = np.flatnonzero((there != keys) & (there != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.table) - 1)
+            there = self.table_keys[slot[open_]]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.table[slot[open_[hit]]]
+            open_ = open_[~hit & (there != -1)]
+        return out
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the adjacent pair of lowest rank, leftmost first, is merged until none is known."""
         ids = [self.byte_ids[b] for b in word]
         return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
 
+    def merge_together(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``merge`` for the rows of a matrix of bytes: (rows, ids), rows of equal numbers of ids together. A round
+        merges one pair of every row that has any left, so that all of those rows stay of one length."""
+        ids, rows = self.bytes[words], np.arange(len(words))
+        ranks = self.of_two[words[:, :-1].astype(np.int32) << 8 | words[:, 1:]]
+        while ids.shape[1] > 1:
+            i = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), i]
+            done = best == _NEVER
+            if done.any():
+                yield rows[done], ids[done]
+                go = ~done
+                rows, ids, ranks, i, best = rows[go], ids[go], ranks[go], i[go], best[go]
+            n, width = len(rows), ids.shape[1] - 1
+            if not n:
+                return
+            column = np.arange(width + 1)
+            ids = ids[column != i[:, None] + 1].reshape(n, width)
+            ranks = ranks[column[:width] != i[:, None]].reshape(n, width - 1)
+            row = np.arange(n)
+            ids[row, i] = best & _MASK
+            for at, right in ((np.flatnonzero(i > 0), 0), (np.flatnonzero(i < width - 1), 1)):
+                j = i[at] + right
+                ranks[at, j - 1] = self.ranks(ids[at, j - 1], ids[at, j])
+        if len(rows):
+            yield rows, ids
+
     def _merge_short(self, ids: list[int]) -> list[int]:
         get = self.merges.get
         ranks = [get(a << _BITS | b, _NEVER) for a, b in zip(ids, ids[1:], strict=False)]
@@ -117,46 +185,71 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
-_BYTES = [bytes([b]) for b in range(256)]
+def _flat(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items end to end, where each begins and how long it is."""
+    size = np.fromiter(map(len, items), dtype=np.int64, count=len(items))
+    return np.frombuffer(b"".join(items), dtype=np.uint8), np.cumsum(size) - size, size
+
+
+def _sums(size: np.ndarray) -> np.ndarray:
+    """Running sums from 0 on."""
+    out = np.zeros(len(size) + 1, dtype=np.int64)
+    np.cumsum(size, out=out[1:])
+    return out
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all the ranges, end to end."""
+    at = _sums(size)
+    out = np.repeat(begin - at[:-1], size)
+    out += np.arange(len(out))
+    return out
 
 
 class Transducer:
-    """The compiled lexicon: ``find(word)`` gives the word's ids or None."""
+    """The compiled lexicon. ``find_all`` walks many words at once, ``find(word)`` gives a word's ids or None."""
 
     _HEAD = struct.Struct("<4Q")
 
     def __init__(self, data: bytes | mmap.mmap) -> None:
         states, arcs, words, ids = self._HEAD.unpack_from(data, 0)
-        view, at = memoryview(data), self._HEAD.size
+        at = self._HEAD.size
 
-        def part(kind: str, n: int) -> memoryview:
+        def part(kind: str, n: int) -> np.ndarray:
             nonlocal at
-            size = n * (4 if kind == "I" else 1)
-            out = view[at : at + size].cast(kind)
-            at += -(-size // 8) * 8
+            out = np.frombuffer(data, dtype=kind, count=n, offset=at)
+            at += -(-out.nbytes // 8) * 8
             return out
 
         # Views of the mapped file: nothing is copied.
-        self.arc_from = part("I", states + 1)
         self.final = part("B", states)
+        self.arc = part("I", arcs)
         self.target = part("I", arcs)
         self.skip = part("I", arcs)
         self.ids_from = part("I", words + 1)
         self.ids = part("I", ids)
-        self.labels_at, self.data = at, data
+
+    def find_all(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Each word's place in the lexicon, or -1: all words take a step with every byte, and leave where there is
+        no arc. An arc is found by its state and byte."""
+        out = np.full(len(begin), -1, dtype=np.int64)
+        word = np.flatnonzero(size > 0) if len(self.arc) else np.zeros(0, dtype=np.int64)
+        state, place, step = np.zeros(len(word), dtype=np.uint32), np.zeros(len(word), dtype=np.int64), 0
+        while len(word):
+            key = state << np.uint32(8) | data[begin[word] + step]
+            arc = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            go = self.arc[arc] == key
+            word, arc = word[go], arc[go]
+            place, state, step = place[go] + self.skip[arc], self.target[arc], step + 1
+            end = size[word] == step
+            at = end & (self.final[state] > 0)
+            out[word[at]] = place[at]
+            word, place, state = word[~end], place[~end], state[~end]
+        return out
 
     def find(self, word: bytes) -> list[int] | None:
-        arc_from, target, skip, find, base = self.arc_from, self.target, self.skip, self.data.find, self.labels_at
-        state = place = 0
-        for b in word:
-            arc = find(_BYTES[b], base + arc_from[state], base + arc_from[state + 1]) - base
-            if arc < 0:
-                return None
-            place += skip[arc]
-            state = target[arc]
-        if not self.final[state]:
-            return None
-        return self.ids[self.ids_from[place] : self.ids_from[place + 1]].tolist()
+        place = self.find_all(np.frombuffer(word, dtype=np.uint8), np.zeros(1, dtype=np.int64), np.array([len(word)]))[0]
+        return None if place < 0 else self.ids[self.ids_from[place] : self.ids_from[place + 1]].tolist()
 
     @classmethod
     def compiled(cls, lexicon: dict[bytes, list[int]]) -> bytes:
@@ -191,24 +284,23 @@ class Transducer:
             below[i] = final + sum(below[t] for _, t in arcs)
         n = len(frozen)
         place = lambda i: n - 1 - i  # noqa: E731  the root was frozen last and becomes state 0
-        arc_from, finals, target, skip, labels = [0], [], [], [], bytearray()
+        finals, target, skip, arc = [], [], [], []
         for i in range(n - 1, -1, -1):
             final, arcs = frozen[i]
             passed = int(final)
             for label, t in arcs:
-                labels.append(label)
+                arc.append(place(i) << 8 | label)  # rising, as states and labels are
                 target.append(place(t))
                 skip.append(passed)
                 passed += below[t]
             finals.append(final)
-            arc_from.append(len(labels))
         ids_from = np.concatenate(([0], np.cumsum([len(lexicon[w]) for w in words]))) if words else np.zeros(1)
         ids = [i for w in words for i in lexicon[w]]
-        out = [cls._HEAD.pack(n, len(labels), len(words), len(ids))]
-        for kind, values in (("<u4", arc_from), ("u1", finals), ("<u4", target), ("<u4", skip), ("<u4", ids_from), ("<u4", ids)):
+        out = [cls._HEAD.pack(n, len(arc), len(words), len(ids))]
+        for kind, values in (("u1", finals), ("<u4", arc), ("<u4", target), ("<u4", skip), ("<u4", ids_from), ("<u4", ids)):
             raw = np.asarray(values).astype(kind).tobytes()
             out.append(raw + b"\0" * (-len(raw) % 8))
-        return b"".join(out) + bytes(labels) + b"\0"
+        return b"".join(out)
 
     @classmethod
     def mapped(cls, data: bytes) -> Transducer:
@@ -242,82 +334,145 @@ def pieces(text: str, special: dict[str, int]) -> Iterator[tuple[str, int | None
 
 
 #: Blanks beside other white space: only elsewhere may a text be cut at its blanks before pre-tokenisation.
-_CROWDED = re.compile(r"\s | \s")
+_CROWDED = rf"[{_WS}] | [{_WS}]".replace(r"\x85", r"\x{85}").replace(r"\xa0", r"\x{a0}").replace(r"\u", r"\x")
+_CROWDED = regex.sub(r"\\x([0-9a-f]{4})", r"\\x{\1}", _CROWDED)  # as Arrow's patterns write code points
 
 
 class Codec:
-    """Encoder and decoder of one worker.
-
-    Encoded pieces are kept packed (4 bytes an id), so that many fit, and are joined as bytes.
-    """
+    """Encoder and decoder of one worker."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer | None) -> None:
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.words: dict[str, bytes] = _Memo(self._word, MEMO_WORDS)
-        self.after_blank: dict[str, bytes] = _Memo(lambda part: self._run(" " + part), MEMO_PARTS)
-        self.names = [str(i) for i in range(len(vocabulary.pieces))]
-
-    def _word(self, word: str) -> bytes:
-        raw = word.encode()
-        found = self.lexicon.find(raw) if self.lexicon else None
-        return array("I", self.vocabulary.merge(raw) if found is None else found).tobytes()
 
-    def _run(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, _pattern().findall(text)))
-
-    def packed(self, text: str) -> bytes:
-        out = []
+    def _words(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of each word: end to end, where they begin, and how many. Through the transducer, or merged."""
+        v = self.vocabulary
+        data, begin, size = _flat([w.encode() for w in words])
+        place = self.lexicon.find_all(data, begin, size) if self.lexicon else np.full(len(words), -1, dtype=np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for t in v.special.keys() & words.keys():  # never part of ordinary text
+            place[words[t]] = -2
+            found.append((np.array([words[t]]), np.array([[v.special[t]]], dtype=np.int32)))
+        known = np.flatnonzero(place >= 0)
+        n = np.zeros(len(words), dtype=np.int64)
+        if self.lexicon:
+            ids_from = self.lexicon.ids_from.astype(np.int64)
+            n[known] = ids_from[place[known] + 1] - ids_from[place[known]]
+        unseen = np.flatnonzero(place == -1)
+        for length in np.unique(size[unseen]).tolist():
+            of = unseen[size[unseen] == length]
+            if length > TOGETHER:
+                found += [(np.array([i]), np.array([v.merge(data[begin[i] : begin[i] + length].tobytes())], dtype=np.int32)) for i in of.tolist()]
+            else:
+                for at in range(0, len(of), 1 << 16):
+                    part = of[at : at + (1 << 16)]
+                    found += [(part[rows], ids) for rows, ids in v.merge_together(data[begin[part][:, None] + np.arange(length)])]
+        for rows, ids in found:
+            n[rows] = ids.shape[1]
+        begin = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), dtype=np.int32)
+        if len(known):
+            out[_ranges(begin[known], n[known])] = self.lexicon.ids[_ranges(ids_from[place[known]], n[known])]
+        for rows, ids in found:
+            out[begin[rows][:, None] + np.arange(ids.shape[1])] = ids
+        return out, begin, n
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), end to end, and where each text's begin (and the end).
+
+        A text is a row of parts: where single blanks stand between other characters each begins a word, so the text
+        is cut there and each distinct part of the slice is taken apart once. Other texts, and those with special
+        tokens, are taken apart as they stand, each of their words being a part.
+        """
+        findall = _pattern().findall
+        texts = texts.fill_null("") if texts.null_count else texts
+        odd = pc.match_substring_regex(texts, _CROWDED)
+        for t in self.vocabulary.special:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        odd = np.asarray(odd.to_numpy(zero_copy_only=False), dtype=bool)
+        words: dict[str, int] = defaultdict()
+        words.default_factory = words.__len__
+        plain = np.flatnonzero(~odd)
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        if isinstance(split, pa.ChunkedArray):
+            split = split.combine_chunks()
+        cut = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        parts, kind = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # The distinct parts as they stand after a blank. An empty one (a blank at an end) is the blank itself.
+        solid = [k for k, p in enumerate(parts) if p]
+        rows = []
+        for at in range(0, len(solid), 1 << 16):
+            found = findall(" " + " ".join(map(parts.__getitem__, solid[at : at + (1 << 16)])))
+            rows.append(np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found)))
+        if len(solid) < len(parts):
+            solid.append(parts.index(""))
+            rows.append(np.array([words[" "]]))
+        after_blank = np.concatenate([np.zeros(0, dtype=np.int64), *rows])
+        blank = np.fromiter((w[0] == " " for w in words), dtype=bool, count=len(words))
+        cuts = np.append(np.flatnonzero(blank[after_blank]), len(after_blank))
+        begin, count = np.empty(len(parts), dtype=np.int64), np.empty(len(parts), dtype=np.int64)
+        begin[solid], count[solid] = cuts[:-1], np.diff(cuts)
+        # Parts that begin a text have no blank before them.
+        heads, starts = [], cut[:-1]
+        for k in kind[starts].tolist():
+            heads.append(np.fromiter(map(words.__getitem__, findall(parts[k])), dtype=np.int64))
+        whole = [np.fromiter((words[w] for w in self._taken_apart(texts[i].as_py())), dtype=np.int64) for i in np.flatnonzero(odd).tolist()]
+        size = np.fromiter(map(len, [*heads, *whole]), dtype=np.int64, count=len(texts))
+        flat = np.concatenate([after_blank, *heads, *whole])
+        extra = len(after_blank) + np.cumsum(size) - size
+        part_from, part_size = begin[kind], count[kind]
+        part_from[starts], part_size[starts] = extra[: len(plain)], size[: len(plain)]
+        # Ranges of the plain texts' parts, then one range for each other text; put in the texts' order.
+        all_from, all_size = np.concatenate((part_from, extra[len(plain) :])), np.concatenate((part_size, size[len(plain) :]))
+        of = np.concatenate((np.repeat(plain, np.diff(cut)), np.flatnonzero(odd)))
+        if odd.any():
+            by = np.argsort(of, kind="stable")
+            all_from, all_size, of = all_from[by], all_size[by], of[by]
+        word = flat[_ranges(all_from, all_size)]
+        ids, id_from, id_size = self._words(words)
+        size = id_size[word]
+        text_ends = _sums(all_size)[np.searchsorted(of, np.arange(len(texts) + 1))]
+        return ids[_ranges(id_from[word], size)], _sums(size)[text_ends]
+
+    def _taken_apart(self, text: str) -> Iterator[str]:
         for part, special in pieces(text, self.vocabulary.special):
             if special is not None:
-                out.append(array("I", (special,)).tobytes())
-            elif _CROWDED.search(part):
-                out.append(self._run(part))
-            else:  # single blanks between other characters: each begins a pre-token, so the parts are independent
-                first, *rest = part.split(" ")
-                out.append(self._run(first))
-                out += map(self.after_blank.__getitem__, rest)
-        return b"".join(out)
+                yield part
+            else:
+                yield from (m[0] for m in _pattern().finditer(part))
 
     def encode(self, text: str) -> list[int]:
-        return array("I", self.packed(text)).tolist()
+        return self.encode_all(pa.array([text], pa.string()))[0].tolist()
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return b"".join(map(self.vocabulary.pieces.__getitem__, ids)).decode("utf-8", "replace")
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        v = self.vocabulary
+        raw = v.piece_bytes[_ranges(v.piece_from[ids], v.piece_size[ids])].tobytes()
+        at = _sums(v.piece_size[ids])[offsets].tolist()
+        return [raw[s:e].decode("utf-8", "replace") for s, e in zip(at[:-1], at[1:], strict=True)]
 
+    def decode(self, ids: Iterable[int]) -> str:
+        ids = np.array(ids, dtype=np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
 
-class _Memo(dict):
-    def __init__(self, make: Callable, most: int) -> None:
-        super().__init__()
-        self._make, self._most = make, most
-
-    def __missing__(self, key):
-        value = self._make(key)
-        if len(self) < self._most:
-            self[key] = value
-        return value
+    def names(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Each text's ids in decimal, joined by commas."""
+        v = self.vocabulary
+        raw = v.name_bytes[_ranges(v.name_from[ids], v.name_size[ids])].tobytes()
+        at = _sums(v.name_size[ids])[offsets].tolist()
+        return [raw[s : e - 1] if e > s else b"" for s, e in zip(at[:-1], at[1:], strict=True)]
 
 
-def frequent_words(df: DataFrame, text_col: str, special: dict[str, int], most: int) -> list[str]:
+def frequent_words(df: DataFrame, text_col: str, most: int) -> list[str]:
     """The pre-tokens of the commonest words, counted over all texts cut at blanks: of up to ``most`` words, and of
     those that are equally common at the limit none. Pre-tokens are taken from a word as it stands after a blank."""
 
     def count(batches):
-        words: Counter[str] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
-            words.clear()
-            return out
-
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for part, is_special in pieces(text or "", special):
-                    if is_special is None:
-                        words.update(part.split(" "))
-                if len(words) > COUNTED_WORDS:
-                    yield flush()
-        if words:
-            yield flush()
+            for rows, _, _ in slices(batch, text_col, COUNT_BYTES):
+                split = pc.split_pattern(rows.column(0), " ")
+                found = split.flatten().value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts").cast(pa.int64())], names=["word", "n"])
 
     counted = stage(df.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # Distinct counts are few (their sum is at most the corpus): the least count that fits is found from them.
@@ -335,7 +490,7 @@ class Encoder:
 
     def __init__(self, df: DataFrame, path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> None:
         vocabulary = Vocabulary(path)
-        words = frequent_words(df, text_col, vocabulary.special, lexicon_words)
+        words = frequent_words(df, text_col, lexicon_words)
         blob = Transducer.compiled({w.encode(): vocabulary.merge(w.encode()) for w in words})
         self._sent = df.sparkSession.sparkContext.broadcast((vocabulary, blob))
 
@@ -345,10 +500,7 @@ class Encoder:
 
         def get() -> Codec:
             key = hashlib.sha1(sent.value[1]).digest()
-            if key not in _CODECS:
-                _CODECS.clear()
-                _CODECS[key] = Codec(sent.value[0], Transducer.mapped(sent.value[1]))
-            return _CODECS[key]
+            return in_worker(("bpe", key), lambda: Codec(sent.value[0], Transducer.mapped(sent.value[1])))
 
         return get
 
@@ -361,11 +513,10 @@ class Encoder:
         def run(batches):
             codec = get()
             for batch in batches:
-                for rows, _, _ in slices(batch, text_col, 1 << 20):
-                    parts = [codec.packed(t.as_py() or "") for t in rows.column(rows.schema.get_field_index(text_col))]
-                    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in parts]))).astype(np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*rows.schema.names, out_col])
+                for rows, _, _ in slices(batch, text_col, SLICE_BYTES):
+                    ids, offsets = codec.encode_all(rows.column(rows.schema.get_field_index(text_col)))
+                    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, out_col])
 
         schema = StructType([*df.select(*kept).schema.fields, StructField(out_col, ArrayType(IntegerType()))])
         return df.select(*kept).mapInArrow(run, schema)
@@ -388,20 +539,15 @@ class Encoder:
         def digest(batches):
             codec = get()
             for batch in batches:
-                n, ids_sha, text_sha = [], [], []
-                for text in batch.column(1):
-                    ids = codec.encode(text.as_py() or "")
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                for rows, _, _ in slices(batch, text_col, SLICE_BYTES):
+                    ids, offsets = codec.encode_all(rows.column(1))
+                    ids_sha = [hashlib.sha256(x).hexdigest() for x in codec.names(ids, offsets)]
+                    text_sha = [hashlib.sha256(x.encode()).hexdigest() for x in codec.decode_all(ids, offsets)]
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return df.select(id_col, text_col).mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-_CODECS: dict[bytes, Codec] = {}
-
-
 def default_path() -> str:
     """The tokenizer file of this installation's public_tokenizers package."""
     import public_tokenizers

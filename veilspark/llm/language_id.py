@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, stage
+from ._common import crc_mod, in_worker, stage
 
 #: Labelled rows that the classifier is fitted on, at most about: rows are taken by a hash of their id.
 TRAIN_ROWS = 20_000
@@ -172,20 +172,13 @@ def identify(df: DataFrame, training: DataFrame | None = None, id_col: str = "do
 
     @F.pandas_udf("lang string, score double")
     def predict(texts):
-        key = id(sent.value)
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = _Scores(sent.value)
-        got = [sent.value.predict(t, _WORKER[key]) for t in texts]
+        scores = in_worker(("language", id(sent.value)), lambda: _Scores(sent.value))
+        got = [sent.value.predict(t, scores) for t in texts]
         return pd.DataFrame({"lang": [g[0] for g in got], "score": [g[1] for g in got]})
 
     return df.withColumn("_p", predict(F.col(text_col))).withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score")}).drop("_p")
 
 
-#: The scores that this worker process has so far.
-_WORKER: dict[int, _Scores] = {}
-
-
 def held_out(id_col: str = "doc_id", modulus: int = 3, rest: int = 1) -> Column:
     """Whether a row is kept out of the learning: by crc32 of its id as text (null: empty text)."""
     return crc_mod(id_col, modulus) == rest
