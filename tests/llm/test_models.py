@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from veilspark.llm import bpe, language_id, lm_scoring, topk_search
@@ -122,12 +123,63 @@ def test_language(spark):
     assert {r["lang_pred"] for r in none} == {"und"}
 
 
-def test_language_falls_back_to_shorter_grams():
-    m = language_id.Model([("a", 0, "word", 3), ("b", 3, "xyz", 2), ("a", 1, "q", 1)])
-    assert m.word("word").tobytes() == m.tables[0]["word"]
-    assert m.word("xyzq").tobytes() == m.tables[3]["xyz"]
-    assert m.word("qq").tobytes() == m.tables[1]["q"]
-    assert m.word("é").tolist() == [0.0, 0.0]
+def plain_language(training, texts):
+    """Word first, then ever shorter n-grams, one word at a time."""
+    find = regex.compile(r"[\p{L}\p{M}]+").findall
+    grams = lambda w, n: [w] if n == 0 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = [collections.defaultdict(collections.Counter) for _ in range(6)]
+    for lang, text in training:
+        for w in find(text.lower()):
+            for n in range(6):
+                counts[n][lang].update(grams(w, n))
+    langs = sorted({lang for lang, _ in training})
+    keys = [set().union(*c.values()) for c in counts]
+    logs = lambda n, k: [math.log((counts[n][x][k] + 0.5) / (sum(counts[n][x].values()) + 0.5 * (len(keys[n]) + 1))) for x in langs]
+
+    def word(w):
+        for n in (0, 5, 4, 3, 2, 1):
+            known = [logs(n, g) for g in grams(w, n) if g in keys[n]]
+            if known:
+                return [sum(x) / len(known) for x in zip(*known)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        words = find((t or "").lower())
+        if not any(regex.search(r"\p{L}", w) for w in words):
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(x) / len(words) for x in zip(*map(word, words))]
+        odds = [math.exp((m - max(mean)) * min(len(words), language_id.SHARPNESS)) for m in mean]
+        best = mean.index(max(mean))
+        out.append((langs[best], odds[best] / sum(odds)))
+    return out
+
+
+def test_language_against_plain(spark):
+    rnd = random.Random(8)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7)))
+    alphabet = {"aa": "abcdeé", "bb": "defghé", "cc": "ghiaḷ̃"}
+    rows = [(i, " ".join(word(alphabet[x]) for _ in range(rnd.randint(1, 25))), x) for i, x in enumerate(rnd.choice([*alphabet]) for _ in range(90))]
+    more = [None, "", " 12 !", "\u0301", "zzz qq", "a" * 300_000 + " d", "ABC Éd\n" * 3000, rows[3][1], rows[3][1]]
+    df = spark.createDataFrame([*rows, *((200 + i, t, None) for i, t in enumerate(more))], "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(df).collect()}
+    want = plain_language([(r[2], r[1]) for r in rows], [*(r[1] for r in rows), *more])
+    for i, (lang, score) in zip([*range(90), *range(200, 200 + len(more))], want, strict=True):
+        assert got[i] == (lang, pytest.approx(score, abs=1e-5)), i
+    # wholly even evidence: the first language by code point
+    even = spark.createDataFrame([(1, "one", "b"), (2, "two", "a"), (3, "three", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(even, even.where("doc_id < 3")).collect()}[3] == "a"
+    clash = df.withColumns({"score": F.lit("x"), "lang_pred": F.lit(1), "size": F.lit(2)})
+    assert sorted(language_id.identify(clash).columns) == sorted(clash.columns)
+    assert language_id.identify(df.limit(0)).collect() == []
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", language_id.held_out())
+    found = language_id.identify(docs, docs.where("not held_out")).where("held_out and lang is not null and lang_pred <> 'und'")
+    n, right = found.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
+    assert n > 20 and right / n > 0.95
 
 
 def brute_top(rows, k):
@@ -157,11 +209,11 @@ def test_top_k(spark, group):
 def test_rare_languages_are_learned(spark):
     rows = [(i, "the quick brown fox", "en") for i in range(3000)] + [(5000 + i, f"zorp{'abcdefghij'[i]} glimf", "xx") for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    # far fewer rows than languages have, and less room than words of one count
-    model = language_id.fit(df, "doc_id", "text", "lang", rows=20, words=6, grams=10)
-    assert model.languages == ["en", "xx"]
-    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, rows=20).collect()}
-    assert all(got[i] == "en" for i in range(3000)) and all(got[5000 + i] == "xx" for i in range(10))
-    one = spark.createDataFrame([(i, " ".join(f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"), "yy") for i in range(1)], "doc_id long, text string, lang string")
-    kept = language_id.fit(one, "doc_id", "text", "lang", words=32).tables[0]
-    assert 16 <= len(kept) <= 48
+    # far fewer rows than languages have; the whole vocabulary of what is taken stays
+    for bound in ({"rows": 20}, {"size": 2_000}):
+        assert language_id.fit(df, "doc_id", "text", "lang", **bound).languages == ["en", "xx"]
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, **bound).collect()}
+        assert all(got[i] == "en" for i in range(3000)) and all(got[5000 + i] == "xx" for i in range(10))
+    words = [f"w{a}{b}{c}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst" for c in "abcdefg"]
+    one = spark.createDataFrame([(1, " ".join(words), "yy")], "doc_id long, text string, lang string")
+    assert len(language_id.fit(one, "doc_id", "text", "lang").tables[0].keys) == len(words)
