@@ -1,6 +1,7 @@
 """Encoding, language models, language identification and search against plain versions."""
 
 import collections
+import fractions
 import hashlib
 import math
 import random
@@ -183,11 +184,12 @@ def test_language_held_out_accuracy(spark, sf_dir):
 
 
 def brute_top(rows, k):
-    ok = [(i, np.floor(np.array(v, dtype=np.float64) * 1024)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(fractions.Fraction(x) * 1024) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, x in ok:
         if q % 10 == 0:
-            best = sorted((-int(x[: min(len(x), len(y))] @ y[: min(len(x), len(y))]), i) for i, y in ok if i != q)[:k]
+            scores = ((i, sum(a * b for a, b in zip(x, y))) for i, y in ok if i != q)
+            best = sorted((-min(max(s, -(2**63)), 2**63 - 1), i) for i, s in scores)[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -206,6 +208,28 @@ def test_top_k(spark, group):
     assert len(topk_search.top_k(few, F.col("vec_id") == 0, 10).collect()) == 3
 
 
+def test_top_k_of_large_components(spark):
+    rnd = random.Random(9)
+    rows = [(i, [rnd.choice((1.0, 90_000.0, -90_000.0, 0.25)) * rnd.random() for _ in range(6)]) for i in range(60)]
+    rows += [(100 + i, [rnd.choice((1e9, -3e12, 1e18, 2e5)) * rnd.random() for _ in range(6)]) for i in range(12)] + [(200, [1.7e308] * 6), (210, [-1.7e308] * 6), (220, [90_000.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 10 == 0, 10).collect())) == brute_top(rows, 10)
+
+
+def test_cutoff_spares_pairs(spark):
+    rnd = random.Random(10)
+    # one in twenty vectors is long: the lists of a block are left early
+    rows = [(i, [rnd.gauss(0, 1) * (8 if i % 20 == 0 else 0.2) for _ in range(16)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    met, resolved = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = topk_search.top_k(df, F.col("vec_id") % 100 == 0, 10, scored=(met, resolved)).collect()
+    assert len(got) == 300 and met.value == 30 * 3000 and resolved.value < 0.1 * met.value
+    x = np.floor(np.array([r[1] for r in rows]) * 1024).astype(np.int64)
+    block = topk_search.Block(x[:1], x[:2000], 4)
+    cutoff = np.array([np.sort(x[:1] @ x[1:2000].T)[0, -10] // 4])
+    assert len(block.read(0, cutoff)[0]) < 300
+
+
 def test_rare_languages_are_learned(spark):
     rows = [(i, "the quick brown fox", "en") for i in range(3000)] + [(5000 + i, f"zorp{'abcdefghij'[i]} glimf", "xx") for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
