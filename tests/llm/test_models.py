@@ -78,38 +78,71 @@ def test_round_trip(spark, reference):
     assert bpe.Encoder(empty, bpe.default_path()).round_trip(empty).collect() == []
 
 
-def test_lm(spark):
+def plain_lm(tokens, training, strengths):
+    """The automaton as a dictionary of states, walked a token at a time."""
+    order = len(strengths) + 1
+    c = collections.Counter()
+    for w in training:
+        w = ["<s>", *w]
+        c[()] += len(w) - 1
+        for i in range(len(w)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0:
+                    c[tuple(w[i - k + 1 : i + 1])] += 1
+    v = sum(len(k) == 1 and k != ("<s>",) for k in c)
+    mu = lambda h: strengths[len(h) - 1]
+
+    def p(h, x):
+        return (c[h + (x,)] + mu(h) * p(h[1:], x)) / (c[h] + mu(h)) if h else (c[x,] + 0.5) / (c[()] + 0.5 * (v + 1))
+
+    def walk(w):
+        state, total = ("<s>",), 0.0
+        for x in w:
+            while state and not c[state + (x,)]:
+                total += math.log10(mu(state) / (c[state] + mu(state)))
+                state = state[1:]
+            total += math.log10(p(state, x))
+            state = (state + (x,))[-(order - 1) :] if c[x,] else ()
+        return total
+
+    return c, v, p, walk
+
+
+@pytest.mark.parametrize("strengths,lane", [((50.0, 5.0), 256), ((50.0, 5.0), 7), ((3.0,), 5), ((9.0, 4.0, 2.0), 6)])
+def test_lm(spark, strengths, lane, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LANE", lane)
     rnd = random.Random(4)
     rows = [(i, " ".join(rnd.choice("The the cat dog runs Sees a".split()) for _ in range(rnd.randint(0, 30))), "en", "s", 0.0, 0) for i in range(50)]
     rows += [(60, None, None, None, None, None), (61, " \n", "en", "s", 0.0, 0), (None, "the cat", "en", "s", 0.0, 0), (5, rows[5][1], "en", "s", 0.0, 0)]
-    got = lm_scoring.score(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    rows += [(70, "the Cat sees " * 3000 + "é ß", "en", "s", 0.0, 0), (71, "x" * 100_000, "en", "s", 0.0, 0)]
+    got = lm_scoring.score(spark.createDataFrame(rows, SCHEMA).repartition(3), strengths=strengths).collect()
     tokens = [(r[0], (r[1] or "").encode().lower().split() + [None]) for r in rows]
     out_of = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
-    c, pairs, states = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, w in tokens:
-        if not out_of(i):
-            c.update(w)
-            for h, x in zip(["<s>", *w], w, strict=False):
-                pairs[h, x] += 1
-                states[h] += 1
-    n, v, mu = sum(c.values()), len(c), lm_scoring.STRENGTH
-    want = []
-    for i, w in tokens:
-        p = [(c[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        base, total, state = sum(map(math.log10, p)), 0.0, "<s>"
-        for x, q in zip(w, p, strict=True):  # state by state: an arc if there is one, else the failure arc
-            whole = states[state] + mu
-            total += math.log10((pairs[state, x] + mu * q) / whole) if pairs[state, x] else math.log10(mu / whole) + math.log10(q)
-            state = x
-        want.append((i, out_of(i), len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(total, 6)))
-    assert sorted(repr(tuple(r)[:5] + (round(r[5], 6), round(r[6], 6))) for r in got) == sorted(map(repr, want))
+    c, v, p, walk = plain_lm(tokens, [w for i, w in tokens if not out_of(i)], strengths)
+    n = c[()]
+    want = [(i, out_of(i), len(w), sum(c[x,] > 0 for x in w), n, sum(math.log10(p((), x)) for x in w), walk(w)) for i, w in tokens]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], abs=1e-6, rel=1e-9)
     # a proper distribution: over all known tokens and one unseen
-    for h in ("<s>", b"the"):
-        q = [(c[x] + 0.5) / (n + 0.5 * (v + 1)) for x in [*c, b"?"]]
-        assert sum((pairs[h, x] + mu * y) / (states[h] + mu) for x, y in zip([*c, b"?"], q, strict=True)) == pytest.approx(1)
+    for h in (("<s>",), (b"the",), (b"cat", b"sees"))[: len(strengths) + 1]:
+        if len(h) < len(strengths) + 1:
+            assert sum(p(h, x) for x in [*(k[0] for k in c if len(k) == 1 and k != ("<s>",)), b"?"]) == pytest.approx(1)
     assert lm_scoring.score(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_packed_keys():
+    from veilspark.llm import _exchange
+
+    rnd = np.random.default_rng(1)
+    for bits, n in ((8, 40), (40, 1000), (64, 5000), (64, 1), (64, 0)):
+        keys = np.unique(rnd.integers(0, 1 << bits, n, dtype=np.uint64, endpoint=False) if bits < 64 else rnd.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
+        assert _exchange.unpack_keys(_exchange.pack_keys(keys)).tolist() == keys.tolist()
+    for top in (0, 200, 60_000, 1 << 20, 1 << 40):
+        counts = rnd.integers(0, top + 1, 50)
+        assert _exchange.unpack_counts(_exchange.pack_counts(counts)).tolist() == counts.tolist()
+
+
 def test_language(spark):
     en, de = "the house and the dog went over there".split(), "das haus und der hund ging über die straße".split()
     rnd = random.Random(6)

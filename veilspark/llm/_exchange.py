@@ -92,6 +92,35 @@ def bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)])).astype(np.int64)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as their steps, in as many bytes each as is shortest; longer steps stand whole beside."""
+    steps = np.diff(keys, prepend=keys[:1] * 0)
+    bits = np.ceil(np.log2(steps.astype(np.float64) + 1))
+    width = min(range(1, 9), key=lambda w: len(keys) * w + 12 * int((bits > 8 * w - 1).sum()))
+    far = np.flatnonzero(bits > 8 * width - 1) if width < 8 else np.zeros(0, dtype=np.int64)
+    near = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    return b"".join((np.array([len(keys), len(far), width], dtype="<u4").tobytes(), far.astype("<u4").tobytes(), steps[far].astype("<u8").tobytes(), near.tobytes()))
+
+
+def unpack_keys(data: bytes | memoryview) -> np.ndarray:
+    n, m, width = np.frombuffer(data, "<u4", 3).tolist()
+    near = np.zeros((n, 8), dtype=np.uint8)
+    near[:, :width] = np.frombuffer(data, np.uint8, n * width, 12 + 12 * m).reshape(n, width)
+    steps = near.view("<u8").ravel()
+    steps[np.frombuffer(data, "<u4", m, 12)] = np.frombuffer(data, "<u8", m, 12 + 4 * m)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the shortest of four widths, compressed."""
+    size = next(s for s in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * s))
+    return bytes([size]) + squeeze(counts.astype(f"<u{size}").tobytes())
+
+
+def unpack_counts(data: bytes | memoryview) -> np.ndarray:
+    return np.frombuffer(unsqueeze(data[1:]), f"<u{data[0]}").astype(np.int64)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
