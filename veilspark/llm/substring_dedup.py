@@ -1,10 +1,11 @@
 """Substring deduplication by level-wise doubling of repeated windows.
 
-Level 0 takes windows of half the wanted length, and only those that are least by hash among the ones inside some
-wanted window (every wanted window holds at least one, chosen by content alone, so equal windows choose equally).
-Windows that no other document shares are dropped; what survives is extended to twice the length, at most the wanted
-one, and so on: at the wanted length each window learns whether a smaller document has it. With ``extend`` the
-doubling goes on until no candidate survives and each document reports the longest level that repeats.
+The levels are windows of 1, 2, 4, 8 ... words and at last of the wanted length; a window's hash is made of those of the
+two windows of the level before that cover it. At every level each chunk asks which of its windows stand in another
+document too, but only for windows inside a wanted window all of whose parts have repeated so far: a word that no
+other document has takes every window around it out at the first level. At the wanted length each window learns whether
+a smaller document has it. With ``extend`` the doubling goes on from there until no candidate survives, and each
+document reports the longest level that repeats.
 """
 
 from __future__ import annotations
@@ -17,15 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._exchange import Chunk, ask, bits, bounds, chunks, parts_for, rows_of, squeeze, unsqueeze, with_replies
-from ._words import doc_of_word, double, gram_hashes, inside, mix64, word_hashes
+from ._exchange import Chunk, ask, bits, bounds, chunks, pack_keys, parts_for, rows_of, squeeze, unpack_keys, unsqueeze, with_replies
+from ._words import doc_of_word, double, inside, word_hashes
 
 _U = np.uint64
+#: Leading bits of a hash by which windows shorter than the wanted ones are compared: equal bits of different windows
+#: only keep more candidates.
+_SHORT = _U(16)
 
 
 def levels(length: int, extend: bool) -> Iterator[int]:
-    """Window lengths: half of ``length`` rounded up, ``length``, then doubled while asked for."""
-    yield (length + 1) // 2
+    """Window lengths: 1, doubled up to ``length``, and on while asked for."""
+    size = 1
+    while size < length:
+        yield size
+        size *= 2
     while True:
         yield length
         if not extend:
@@ -33,17 +40,6 @@ def levels(length: int, extend: bool) -> Iterator[int]:
         length *= 2
 
 
-def _least(chunk: Chunk, words: np.ndarray, half: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all half-length windows, the least of those inside each window of ``length`` words, and which
-    windows stay in one document."""
-    h = gram_hashes(words, half)
-    n = max(0, len(words) - length + 1)
-    least = h[:n].copy()
-    for k in range(1, length - half + 1):
-        np.minimum(least, h[k : k + n], out=least)
-    return h, least, inside(chunk.first, length)[:n]
-
-
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorting order by the keys (first is foremost) and, in that order, where a new group of all but the last
     begins."""
@@ -62,45 +58,30 @@ class _Walk:
 
     def __init__(self, row: dict, length: int, answered: int, extend: bool, final: bool = False) -> None:
         self.chunk = chunk = Chunk(row)
-        self.parts, self.payload = row["parts"], None
-        known = np.repeat(chunk.known, np.diff(chunk.first))
+        self.parts, self.payload, self.shift = row["parts"], None, _SHORT
         doc = doc_of_word(chunk.first)
-        a = word_hashes(chunk.buf, chunk.starts, chunk.ends, 0)
-        steps = levels(length, extend)
-        half = next(steps)
-        h, least, whole = _least(chunk, a, half, length)
-        n, span = len(least), length - half + 1
-        whole &= known[:n]
-        chosen = np.zeros(len(h), dtype=bool)
-        for k in range(span):
-            chosen[k : k + n] |= (h[k : k + n] == least) & whole
-        at = np.flatnonzero(chosen)
-        spread = mix64(h[at])  # seeds are low hashes
-        order, new = _groups(spread, doc[at])
-        self.keys = spread[order][new]
-        if not answered:
-            return
-        first, last = doc[at[order]][new], doc[at[order]][_ends(new)]
-        shared = (first != last) | bits(row["r0"], np.diff(bounds(self.keys, self.parts)))
-        seed = np.zeros(len(h), dtype=bool)
-        seed[at[order]] = shared[np.cumsum(new) - 1]
-        # A window is a candidate if its own seed is shared. (Seeds that only its neighbours chose say nothing: where
-        # an equal window stands they may not have been chosen.)
-        ok = np.zeros(n, dtype=bool)
-        for k in range(span):
-            ok |= seed[k : k + n] & (h[k : k + n] == least)
-        ok &= whole
+        ga = word_hashes(chunk.buf, chunk.starts, chunk.ends, 0)
+        # More bits of hash, only for windows that decide.
+        gb = word_hashes(chunk.buf, chunk.starts, chunk.ends, 1) if 1 << answered >= length else None
+        n = max(0, len(ga) - length + 1)
+        ok = inside(chunk.first, length)[:n] & np.repeat(chunk.known, np.diff(chunk.first))[:n]
         self.removed, self.longest = np.zeros(n, dtype=bool), np.zeros(len(chunk), dtype=np.int64)
-        b = word_hashes(chunk.buf, chunk.starts, chunk.ends, 1)
-        ga, gb = gram_hashes(a, length, 0), gram_hashes(b, length, 1)
-        for k, size in enumerate(steps, 1):
+        prev = 1
+        for k, size in enumerate(levels(length, extend)):
             if final and k == answered:
                 return
-            if k > 1:  # candidates are the windows both of whose halves repeat
-                prev = size // 2
+            if size > length:  # candidates are the windows both of whose halves repeat
                 m = max(0, len(ok) - prev)
                 ok = repeated[:m] & repeated[prev : prev + m] & (doc[:m] == doc[prev : prev + m])  # noqa: F821
-                ga, gb = double(ga, prev, size, 0), double(gb, prev, size, 1)
+            if size > prev:
+                ga, gb = double(ga, prev, size, 0), None if gb is None else double(gb, prev, size, 1)
+            prev = size
+            if size < length:
+                ok = self._part(row, k, answered, ok, ga, doc, length - size)
+                if k == answered:
+                    return
+                continue
+            self.shift = _U(0)
             at = np.flatnonzero(ok)
             ids = chunk.ids[doc[at]]
             lead, rest = ga[at], (gb[at] & _U(0xFFFFFFFF)).astype(np.uint32)
@@ -111,19 +92,42 @@ class _Walk:
                 self.payload = (rest[order][new], least, ids[order][_ends(new)])
                 return
             smaller, other = _two_flags(row[f"r{k}"], np.diff(bounds(self.keys, self.parts)))
-            if k == 1:
+            if size == length:
                 self.removed[at[order]] = smaller[group] | (ids[order] > least[group])
             repeated = np.zeros(len(ok), dtype=bool)
             repeated[at[order]] = other[group]
             if extend:
                 np.maximum.at(self.longest, doc[np.flatnonzero(repeated)], size)
 
+    def _part(self, row: dict, k: int, answered: int, ok: np.ndarray, hashes: np.ndarray, doc: np.ndarray, beyond: int) -> np.ndarray:
+        """A level below the wanted length: of the wanted windows ``ok`` those in which every window of this level (the
+        last begins ``beyond`` words after the first) stands in another document."""
+        edge = np.zeros(len(hashes) + 1, dtype=np.int32)
+        starts = np.flatnonzero(ok)
+        edge[starts] += 1
+        edge[starts + beyond + 1] -= 1
+        at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        keys = hashes[at] >> self.shift
+        order = np.argsort(keys, kind="stable")  # within a key, documents rise
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = keys[order][1:] != keys[order][:-1]
+        self.keys = keys[order][new]
+        if k == answered:
+            return ok
+        in_doc = doc[at[order]]
+        shared = (in_doc[new] != in_doc[_ends(new)]) | bits(row[f"r{k}"], np.diff(bounds(self.keys << self.shift, self.parts)))
+        alone = np.zeros(len(hashes) + 1, dtype=np.int32)
+        alone[at[order] + 1] = ~shared[np.cumsum(new) - 1]
+        alone = np.cumsum(alone, dtype=np.int32)
+        ok[starts] = alone[starts + beyond + 1] == alone[starts]
+        return ok
+
     def questions(self) -> Iterator[tuple[int, bytes]]:
-        cut = bounds(self.keys, self.parts)
+        cut = bounds(self.keys << self.shift, self.parts)
         for p, (s, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if e > s:
                 if self.payload is None:
-                    yield p, self.keys[s:e].tobytes()
+                    yield p, pack_keys(self.keys[s:e])
                 else:
                     yield p, squeeze(b"".join(x[s:e].tobytes() for x in (self.keys, *self.payload)))
 
@@ -141,7 +145,7 @@ def _two_flags(replies: list[bytes] | None, counts: np.ndarray) -> tuple[np.ndar
 
 
 def _shared_elsewhere(payloads: list[bytes]) -> list[bytes]:
-    arrays = [np.frombuffer(p, dtype=_U) for p in payloads]
+    arrays = [unpack_keys(p) for p in payloads]
     keys = np.concatenate(arrays)
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     return _in_turn(np.packbits, counts[inverse] > 1, arrays)
@@ -215,18 +219,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     also starts in a row with a smaller id is removed; windows are judged on the input. ``removed`` lists the removed
     word ranges, ``kept_text`` joins the rest by one blank, ``longest`` (with ``extend``) is the last level, ``length``
     doubled as long as it repeats in another document. Null text has no words; a row with a null id neither loses
-    words nor causes a loss; rows of equal id do not affect each other. Extra columns are ignored.
+    words nor causes a loss; rows of equal id do not affect each other. Texts of any length go whole, one of more than
+    some megabytes in a chunk of its own; an empty table gives no rows. Extra columns are ignored.
     """
     spark = df.sparkSession
     table = chunks(df, id_col, text_col, "substrings")
     words = table.agg(F.sum("n_words")).first()[0] or 0
-    table = table.withColumn("parts", F.lit(parts_for(spark, words // 4)))
-    for k, _ in enumerate(levels(length, extend)):
-        replies = ask(table, lambda row, k=k: _Walk(row, length, k, extend).questions(), _owners if k else _shared_elsewhere, f"r{k}")
-        if k > 1 and replies.isEmpty():
+    table = table.withColumn("parts", F.lit(parts_for(spark, words)))
+    answered = 0
+    for k, size in enumerate(levels(length, extend)):
+        answer = _owners if size >= length else _shared_elsewhere
+        replies = ask(table, lambda row, k=k: _Walk(row, length, k, extend).questions(), answer, f"r{k}")
+        if replies.isEmpty():  # no candidate survives
             break
-        table = with_replies(table, replies, f"r{k}")
-    answered = k if k > 1 else 2
+        table, answered = with_replies(table, replies, f"r{k}"), k + 1
 
     def finish(batches):
         for row in rows_of(batches):
