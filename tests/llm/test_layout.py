@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import pytest
@@ -11,6 +12,7 @@ import corpus_pipeline
 from veilspark.llm import html_extract, mixing, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+PAGES = "page_id long, url string, html string"
 
 
 def text_of(page, template=frozenset()):
@@ -34,12 +36,115 @@ def text_of(page, template=frozenset()):
         ("a < b and 3 > 2", "a < b and 3 > 2"),
         ("<ul><li>x<li>y</ul><table><tr><td>1<td>2</table>", "x y 1 2"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<div hidden>no</div><p>yes<span hidden=''>no</span>", "yes"),
+        ("<p title=don't>Hello world, it's fine</p><p>rest</p>", "Hello world, it's fine rest"),
+        ("<main><h1>T</h1><p>one two three</p><article>card</article><p>tail of it</main>", "T one two three card tail of it"),
+        ("<article><header><div><h1>Head</h1></div><p>by</p></header><p>t</article>", "Head t"),
+        ("a</>b</ c>d<!-->e<!-- f --><?g?>h<!i>j", "abdehj"),
+        ("<p>a<p title='never closed>b</p><p>c", "a b c"),
+        ("<p>a<p clas", "a"),
+        ("x" * 3_000_000 + "<p>" + "y " * 1_000_000, "x" * 3_000_000 + " " + " ".join("y" * 1_000_000)),
     ],
 )
 def test_main_text(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize("piece", ['<p title="x>text ', "<a b='c ", "<p a=\"'", "</p><b>", "<!-- ", "<b <i ", "<li>", "<td><b>"])
+def test_parsing_is_linear(piece):
+    took = []
+    for n in (4_000, 32_000):
+        began = time.perf_counter()
+        text_of(piece * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def plain_text(host, pages_of_host):
+    """The texts of one host's pages (trees of [tag, *children]) by the definition, a subtree at a time."""
+    frame, block, prose, drop = {"body", "article"}, {"body", "article", "div", "p"}, {"p", "span"}, {"nav"}
+    has_text = lambda x: any(isinstance(c, str) or has_text(c) for c in x[1:])
+    words = lambda x: sum(len(c.split()) if isinstance(c, str) else words(c) if c[0] not in drop else 0 for c in x[1:])
+
+    def under(x, inside=False):
+        if x[0] not in frame and not (inside and x[0] in prose) and has_text(x):
+            yield repr(x)
+        for c in x[1:]:
+            if not isinstance(c, str):
+                yield from under(c, inside or x[0] == "article")
+
+    def without(x, template, whole, inside):
+        out = [x[0]]
+        for c in x[1:]:
+            if isinstance(c, str):
+                out.append(c)
+            elif c[0] == "article":
+                out.append(without(c, template, words(c), True))
+            elif c[0] != "body" and repr(c) in template and not (inside and c[0] in prose):
+                if 2 * words(c) > whole and c[0] not in drop:
+                    out.append(c)
+            else:
+                out.append(without(c, template, whole, inside or x[0] == "article"))
+        return out
+
+    def blocks(x):
+        if x[0] in drop:
+            return "\0"
+        text = "".join(c if isinstance(c, str) else blocks(c) for c in x[1:])
+        return f"\0{text}\0" if x[0] in block else text
+
+    def articles(x):
+        return [x] if x[0] == "article" else [a for c in x[1:] if not isinstance(c, str) and c[0] not in drop for a in articles(c)]
+
+    def text(x):
+        parts = [" ".join(b.split()) for a in articles(x) or [x] for b in blocks(a).split("\0")]
+        return " ".join(b for b in parts if b)
+
+    on = collections.defaultdict(set)
+    for page in pages_of_host:
+        for k in under(page):
+            on[k].add(text(page))
+    template = {k for k, contents in on.items() if len(contents) >= 5}
+    return [text(without(page, template, words(page), False)) for page in pages_of_host], template
+
+
+def test_templates_against_plain(spark):
+    rnd = random.Random(12)
+    render = lambda x: f"<{x[0]}>{''.join(c if isinstance(c, str) else render(c) for c in x[1:])}</{x[0]}>"
+    shared = [["div", "follow us"], ["div", ["p", "sign up"], "now "], ["p", "terms apply"], ["nav", ["span", "home"]], ["div", ["span", "a"], ["div", "b c"]], ["div", "x " * 40]]
+    own = lambda i: rnd.choice((["p", f"text {i} {rnd.random()}"], ["div", ["p", f"more {rnd.random()} words"], rnd.choice(shared)], ["span", f"s{i} "], ["div", f"d {i % 3}"]))
+    pages = []
+    for i in range(90):
+        body = [rnd.choice((own(i), rnd.choice(shared))) for _ in range(rnd.randint(1, 7))]
+        if rnd.random() < 0.5:
+            body.insert(rnd.randrange(len(body) + 1), ["article", *(rnd.choice((own(i), rnd.choice(shared))) for _ in range(rnd.randint(1, 5)))])
+        pages.append((f"h{i % 3}.example", ["body", *body]))
+    pages += pages[:20]  # copies count once
+    want, found = {}, 0
+    for host in ("h0.example", "h1.example", "h2.example"):
+        at = [k for k, p in enumerate(pages) if p[0] == host]
+        texts, template = plain_text(host, [pages[k][1] for k in at])
+        want |= dict(zip(at, texts, strict=True))
+        found += len(template)
+    df = spark.createDataFrame([(k, f"http://{host}/{k}", render(page)) for k, (host, page) in enumerate(pages)], PAGES).repartition(3)
+    assert {r["page_id"]: r["main_text"] for r in html_extract.extract(df).collect()} == want
+    assert html_extract.templates(df).count() == found > 10
+
+
+def test_furniture_without_names(spark):
+    """No article, no telling tag or class: what recurs on the host goes by its hash alone."""
+    furniture = "<div><ul><li>Home<li>News<li>Shop</ul></div><div><p>Buy two, get one</p></div><div><span>We use crumbs</span> <b>Fine</b></div>"
+    rows = [(i, f"http://s.example/{i}", f"<html><body>{furniture}<div><h1>Title {i}</h1><p>story {i} is told here</p></div><div>All rights kept</div></body></html>") for i in range(12)]
+    got = {r["page_id"]: r["main_text"] for r in html_extract.extract(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert got == {i: f"Title {i} story {i} is told here" for i in range(12)}
+    # on four pages only: no template yet
+    few = {r["main_text"] for r in html_extract.extract(spark.createDataFrame(rows[:4], PAGES)).collect()}
+    assert all(t.startswith("Home News Shop") for t in few)
+    # beside an article the rest of the page is counted too
+    rows = [(i, "http://s.example/", f"<body>{furniture}<article><p>story {i}</article></body>") for i in range(6)]
+    assert html_extract.templates(spark.createDataFrame(rows, PAGES)).count() > 5
+
+
 def test_templates(spark):
     page = lambda i: f"<body><div><p>Read our papers</p></div><div><p>own words {i}</p></div></body>"
     rows = [(i, "http://a.example/x", page(i)) for i in range(8)] + [(100, "http://b.example/", page(100)), (101, None, None), (102, "http://a.example/y", "")]
@@ -52,9 +157,6 @@ def test_templates(spark):
     assert html_extract.extract(df.limit(0)).collect() == []
 
 
-PAGES = "page_id long, url string, html string"
-
-
 def test_copies_are_no_template(spark):
     same = "the same five hundred words over and over"
     for wrap in ("<article><div class=body><p>{}</p></div></article>", "<body><div><p>{}</p></div></body>", "<body><p>{}</p></body>"):

@@ -1,9 +1,11 @@
 """Main text of web pages: site templates are found by counting hashed element subtrees per host and removed.
 
-Pass 1 parses every page, hashes each element subtree that could be furniture and counts, per host, the distinct page
-contents that each hash is on (copies of a page count once, wherever they are). Subtrees on many contents of their
-host are its template. Pass 2 parses again, deletes template subtrees and elements that are furniture by their kind, and
-joins the remaining blocks. A subtree that holds most of its article's (or page's) words is never deleted as template.
+Pass 1 parses every page, hashes every element subtree that has text and counts, per host, the distinct page contents
+that each hash is on (copies of a page count once, wherever they are). Subtrees on many contents of their host are its
+template. Pass 2 parses again and deletes template subtrees from the whole page. Only then is it decided, from what is
+left, where the text is: in articles, a main part, or all that remains. Furniture that differs from page to page is
+known by tag, role and class. Two things keep an article's own words: a recurring subtree that holds most of its
+article's (or page's) words stays, and so do the text-bearing blocks of an article, since articles repeat passages.
 
 What is template is decided by a number of pages, whatever the host's size and mix of layouts. A host's list may thus be
 long: a page looks up its own hashes in a broadcast of all lists, or, where those are large, gets its own by a join.
@@ -14,8 +16,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,49 +58,57 @@ _FURNITURE = frozenset(
 )
 _HOLDS = frozenset("has with without no".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
-_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*([\"']|[^\s>]*))?")
+_TAG_END = re.compile(r"[\s/]*>")
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "children", "digest", "has_text", "weight")
+    __slots__ = ("tag", "attrs", "children", "digest", "has_text", "weight", "gone")
 
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children, self.digest, self.has_text, self.weight = tag, attrs, [], 0, False, 0
+        self.tag, self.attrs, self.children, self.digest, self.has_text, self.weight, self.gone = tag, attrs, [], 0, False, 0, False
 
 
 def parse(text: str) -> Element:
-    """A tree of elements and (decoded) strings. Unclosed and stray tags are taken as browsers mostly take them."""
+    """A tree of elements and (decoded) strings, in time linear in the text. Unclosed and stray tags are taken as
+    browsers mostly take them; a tag that the page breaks off in is dropped, a quote that is never closed is not one."""
     root = Element("#root", {})
     path, at, n = _Path(root), 0, len(text)
+    last_quote = {q: text.rfind(q) for q in "\"'"}
     while at < n:
-        m = _TOKEN.search(text, at)
-        if m is None:
+        begin = text.find("<", at)
+        if begin < 0:
             _add_text(path[-1], text[at:])
             break
-        if m.start() > at:
-            _add_text(path[-1], text[at : m.start()])
-        at, token = m.end(), m.group()
-        t = _TAG.match(token)
-        if t is None:
+        after = text[begin + 1 : begin + 2]
+        closing = after == "/"
+        if after in ("!", "?") or closing and not _NAME.match(text, begin + 2) and begin + 2 < n:
+            if begin > at:
+                _add_text(path[-1], text[at:begin])
+            at = _skip_comment(text, begin, n)
             continue
-        tag = t[2].lower()
-        if t[1]:
-            _close(path, tag)
+        name = _NAME.match(text, begin + 1 + closing)
+        if name is None:  # no tag: a character
+            _add_text(path[-1], text[at : begin + 1])
+            at = begin + 1
             continue
-        if tag in _CLOSES_P and path.open["p"]:
-            _close(path, "p")
-        if tag in _SAME and any(path.open[t] for t in _SAME[tag]):
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].tag in _SCOPE[tag]:
-                    break
-                if path[k].tag in _SAME[tag]:
-                    path.cut(k)
-                    break
-        e = Element(tag, {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(token[t.end() :])} if len(token) > t.end() + 1 else {})
+        if begin > at:
+            _add_text(path[-1], text[at:begin])
+        attrs, at, empty = _attributes(text, name.end(), n, last_quote)
+        if at < 0:
+            break
+        tag = name[0].lower()
+        if closing:
+            path.close(tag)
+            continue
+        if tag in _CLOSES_P:
+            path.close("p")
+        if tag in _SAME:
+            path.end_item(tag)
+        e = Element(tag, attrs)
         path[-1].children.append(e)
-        if tag in _VOID or (token.endswith("/>") and tag not in _BLOCK):
+        if tag in _VOID or (empty and tag not in _BLOCK):
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(text, at)
@@ -111,44 +121,84 @@ def parse(text: str) -> Element:
     return root
 
 
+def _skip_comment(text: str, begin: int, n: int) -> int:
+    """Where the comment, declaration or the like at ``begin`` is over."""
+    if text.startswith("<!--", begin):
+        if text.startswith(">", begin + 4) or text.startswith("->", begin + 4):
+            return text.index(">", begin) + 1
+        end = text.find("-->", begin + 4)
+        return n if end < 0 else end + 3
+    end = text.find(">", begin)
+    return n if end < 0 else end + 1
+
+
+def _attributes(text: str, at: int, n: int, last_quote: dict[str, int]) -> tuple[dict[str, str], int, bool]:
+    """The attributes from ``at`` on, where the tag is over (-1: nowhere), and whether it ends in a slash."""
+    attrs: dict[str, str] = {}
+    while True:
+        if end := _TAG_END.match(text, at):
+            return attrs, end.end(), end[0].endswith("/>")
+        m = _ATTR.match(text, at)
+        if m is None or m.end() >= n:
+            return attrs, -1, False
+        value, at = m[2] or "", m.end()
+        if value in ("'", '"') and at <= last_quote[value]:
+            end = text.find(value, at)
+            value, at = text[at:end], end + 1
+        elif value in ("'", '"'):  # never closed
+            end = next((k for k in range(at, n) if text[k] in " \t\r\n\f>"), n)
+            value, at = value + text[at:end], end
+        attrs.setdefault(m[1].lower(), value)
+
+
+#: An end tag does not reach past these to close something outside.
+_WALL = frozenset("article main section div table td th li ul ol body".split())
+_REACHES = _WALL | frozenset("nav footer header aside form html head".split())
+
+
 class _Path(list):
-    """The open elements, and how many of each tag are open."""
+    """The open elements, and where in the path each tag stands."""
 
     def __init__(self, root: Element) -> None:
         super().__init__([root])
-        self.open: Counter[str] = Counter()
+        self._at: dict[str, list[int]] = defaultdict(list)
+        self._walls: list[int] = []
 
     def push(self, e: Element) -> None:
+        self._at[e.tag].append(len(self))
+        if e.tag in _WALL:
+            self._walls.append(len(self))
         self.append(e)
-        self.open[e.tag] += 1
 
-    def cut(self, k: int) -> None:
+    def _cut(self, k: int) -> None:
         while len(self) > k:
-            self.open[self.pop().tag] -= 1
-
+            tag = self.pop().tag
+            self._at[tag].pop()
+            if tag in _WALL:
+                self._walls.pop()
 
-def _add_text(parent: Element, text: str) -> None:
-    parent.children.append(html.unescape(text) if "&" in text else text)
+    def _last(self, tags: Iterable[str]) -> int:
+        return max((self._at[t][-1] for t in tags if self._at[t]), default=0)
 
+    def close(self, tag: str) -> None:
+        k = self._last((tag,))
+        if k and (tag in _REACHES or not self._walls or self._walls[-1] < k):
+            self._cut(k)
 
-#: An end tag does not reach past these to close something outside.
-_WALL = frozenset("article main section div table td th li ul ol body".split())
+    def end_item(self, tag: str) -> None:
+        """A new item ends the one before it in the same list or table."""
+        k = self._last(_SAME[tag])
+        if k > self._last(_SCOPE[tag]):
+            self._cut(k)
 
 
-def _close(path: _Path, tag: str) -> None:
-    if not path.open[tag]:
-        return
-    for k in range(len(path) - 1, 0, -1):
-        if path[k].tag == tag:
-            path.cut(k)
-            return
-        if path[k].tag in _WALL and tag not in _WALL and tag not in ("nav", "footer", "header", "aside", "form", "html", "head"):
-            return
+def _add_text(parent: Element, text: str) -> None:
+    parent.children.append(html.unescape(text) if "&" in text else text)
 
 
 def is_furniture(e: Element, in_main: bool) -> bool:
     """By kind: tag, role, or a word of class or id."""
-    if e.tag in _DROP or "hidden" in e.attrs and e.tag == "div":
+    if e.tag in _DROP or "hidden" in e.attrs:
         return True
     if e.tag in ("#root", "html", "body", "main", "article"):
         named = f"{e.attrs.get('class', '')} {e.attrs.get('id', '')}".lower()
@@ -191,69 +241,102 @@ def _digest(tree: Element) -> None:
         e.digest = h.intdigest()
 
 
+def _outermost(tree: Element, tag: str, everywhere: bool = False) -> list[Element]:
+    """In page order; unless ``everywhere``, only outside of furniture."""
+    found, stack = [], [tree]
+    while stack:
+        e = stack.pop()
+        if e.tag == tag and not is_furniture(e, True):
+            found.append(e)
+        elif everywhere or e is tree or not is_furniture(e, False):
+            stack += [c for c in reversed(e.children) if not isinstance(c, str) and not c.gone]
+    return found
+
+
 def roots(tree: Element) -> tuple[list[Element], bool]:
-    """Where the text is: the outermost articles outside of furniture; else those inside it (an advert that was never
-    closed may hold the page); else the mains; else the whole tree."""
-    for tag, everywhere in (("article", False), ("article", True), ("main", False)):
-        found: list[Element] = []
-        stack = [tree]
-        while stack:
-            e = stack.pop()
-            if e.tag == tag and not is_furniture(e, True):
-                found.append(e)
-            elif everywhere or e is tree or not is_furniture(e, False):
-                stack += [c for c in reversed(e.children) if not isinstance(c, str)]
-        if found:
-            return found, True
-    return [tree], False
+    """Where the text is: the outermost articles outside of furniture, unless a main part holds more beside them (a card
+    among its text); else articles inside furniture (an advert that was never closed may hold the page); else the
+    mains; else the whole tree. Weights must be set."""
+    articles, mains = _outermost(tree, "article"), _outermost(tree, "main")
+    if articles and mains:
+        inside = sum(a.weight for m in mains for a in _outermost(m, "article") if a is not m)
+        if 2 * inside < sum(m.weight for m in mains):
+            return mains, True
+    found = articles or _outermost(tree, "article", everywhere=True) or mains
+    return (found, True) if found else ([tree], False)
+
+
+#: Never template themselves.
+_FRAME = frozenset("#root html body main article".split())
 
 
 def candidates(tree: Element) -> set[int]:
-    """Hashes of subtrees that may be template: outside an article everything with text; inside it everything but
-    its text-bearing blocks."""
+    """Hashes of the subtrees that may be template: every one with text, but for an article's text-bearing blocks."""
     _digest(tree)
     out: set[int] = set()
-    for root, in_main in ((r, m) for rs, m in [roots(tree)] for r in rs):
-        stack = [c for c in root.children if not isinstance(c, str)]
-        while stack:
-            e = stack.pop()
-            if e.tag in _DROP:
-                continue
-            if e.tag not in ("html", "body", "main", "article") and not (in_main and e.tag in _PROSE) and e.has_text:
-                out.add(e.digest)
-            stack += [c for c in e.children if not isinstance(c, str)]
+    stack = [(tree, False)]
+    while stack:
+        e, in_article = stack.pop()
+        if not e.has_text or e.tag in _RAW:
+            continue
+        if e.tag not in _FRAME and not (in_article and e.tag in _PROSE):
+            out.add(e.digest)
+        in_article |= e.tag in ("article", "main") and not is_furniture(e, True)
+        stack += [(c, in_article) for c in e.children if not isinstance(c, str)]
     return out
 
 
-def _weigh(top: Element, in_main: bool) -> None:
-    """Sets the weight of every subtree of ``top``: its words outside of furniture. A script without blanks counts by
-    its characters."""
-    order, stack = [], [top]
+def _weigh(tree: Element) -> None:
+    """Sets the weight of every subtree: its words outside of inner furniture and of what is gone. A script without
+    blanks counts by its characters."""
+    order, stack = [], [tree]
     while stack:
         e = stack.pop()
-        if e is not top and is_furniture(e, in_main):
-            continue
         order.append(e)
-        stack += [c for c in e.children if not isinstance(c, str)]
+        stack += [c for c in e.children if not isinstance(c, str) and not c.gone]
     for e in reversed(order):
+        e.weight = 0
         for c in e.children:
             if isinstance(c, str):
                 words = c.split()
                 e.weight += max(len(words), sum(map(len, words)) // 8)
-            else:
+            elif not c.gone and not is_furniture(c, False):
                 e.weight += c.weight
 
 
-#: Ends, on the stack of main_text, a subtree that is kept whole.
-_KEPT = object()
+def _delete(tree: Element, template: frozenset[int] | set[int]) -> None:
+    """Marks the template subtrees. One with more than half of the words of its article, or of a page without, is the
+    text itself, met on pages that differ around it: it is kept, and so is all that recurs inside it."""
+    stack = [(tree, tree.weight, False)]
+    while stack:
+        e, whole, in_article = stack.pop()
+        for c in e.children:
+            if isinstance(c, str):
+                continue
+            within, weight = in_article, whole
+            if c.tag in ("article", "main") and not is_furniture(c, True):
+                within, weight = True, c.weight
+            elif c.digest in template and c.tag not in _FRAME and not (in_article and c.tag in _PROSE):
+                if 2 * c.weight <= whole or is_furniture(c, in_article):
+                    c.gone = True
+                continue
+            stack.append((c, weight, within))
 
 
-def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
-    """The blocks that remain, in page order, white space folded, joined by one space.
+def _headings(top: Element) -> list[Element]:
+    """The headings inside an article's own header."""
+    found, stack = [], [top]
+    while stack:
+        e = stack.pop()
+        if e.tag in _HEADING:
+            found.append(e)
+        elif not e.gone and (e is top or not is_furniture(e, True)):
+            stack += [c for c in reversed(e.children) if not isinstance(c, str)]
+    return found
 
-    A recurring subtree with more than half of the words is the text itself, met on pages that differ around it: it is
-    kept, and so is all that recurs inside it.
-    """
+
+def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
+    """The blocks that remain, in page order, white space folded, joined by one space."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -262,35 +345,27 @@ def main_text(tree: Element, template: frozenset[int] | set[int]) -> str:
             blocks.append(" ".join(words))
         run.clear()
 
+    _weigh(tree)
+    if template:
+        _delete(tree, template)
+        _weigh(tree)
     tops, in_main = roots(tree)
     for top in tops:
-        if template:
-            _weigh(top, in_main)
         stack: list = [top]
-        whole = False
         while stack:
             e = stack.pop()
             if e is None:
                 flush()
-            elif e is _KEPT:
-                whole = False
             elif isinstance(e, str):
                 run.append(e)
-            elif e is not top and is_furniture(e, in_main):
+            elif e.gone or (e is not top and is_furniture(e, in_main)):
                 flush()
-            elif e is not top and not whole and e.digest in template and not (in_main and e.tag in _PROSE) and e.tag not in ("article", "main", "body", "html"):
-                if 2 * e.weight > top.weight:
-                    whole = True
-                    stack += [_KEPT, e]
-                else:
-                    flush()
-            elif e.tag == "header" and in_main:  # of an article's own header, its headings
-                stack += [None, *[c for c in reversed(e.children) if not isinstance(c, str) and c.tag in _HEADING], None]
+            elif e.tag == "header" and in_main:
+                stack += [None, *reversed(_headings(e)), None]
+            elif e.tag in _BLOCK or e is top:
+                stack += [None, *reversed(e.children), None]
             else:
-                if e.tag in _BLOCK or e is top:
-                    stack += [None, *reversed(e.children), None]
-                else:
-                    stack += list(reversed(e.children))
+                stack += list(reversed(e.children))
         flush()
     return " ".join(blocks)
 
@@ -348,8 +423,9 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``<id_col>, <url_col>, main_text`` of every row; null html gives the empty text.
 
-    Repeated rows are extracted alike and count once as pages of the host; a null url belongs to the empty host. Extra
-    columns are ignored. The lists of all hosts are broadcast when their measured bytes are small; else each page's
+    Repeated rows are extracted alike and count once as pages of the host; a null url belongs to the empty host. Long
+    pages are read whole, in time linear in their length; an empty table gives no rows. A subtree on exactly the least
+    number of pages is template. Extra columns are ignored. The lists of all hosts are broadcast when their measured bytes are small; else each page's
     hashes are joined with them by host and hash, so that no row carries more than its own.
     """
     found = templates(df, url_col, html_col)
