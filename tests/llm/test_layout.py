@@ -252,6 +252,20 @@ def test_pack(spark):
     assert sharding.pack(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_pack_sizes_are_exact(spark):
+    # 100,001 and 31,071 fill a capacity of 131,072 to the byte; columns that clash with the operator's own
+    schema = "doc_id long, text string, rank string, key int, shard string, bytes int"
+    df = spark.createDataFrame([(1, "a" * 100_000, "r", 1, "s", 2), (2, "b" * 31_070, "r", 1, "s", 2)], schema)
+    got = sharding.pack(df, shards=None, capacity=131_072).collect()
+    assert {(r["doc_id"], r["size"], r["shard"]) for r in got} == {(1, 100_001, 0), (2, 31_071, 0)}
+    assert {r["shard"] for r in sharding.pack(df, shards=None, capacity=131_071).collect()} == {0, 1}
+    # groups of one size, more than a bin holds: every one whole, ties by hash
+    rows = [(i, f"{i % 40:03d}" * 30_000) for i in range(80)]
+    got = sharding.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=8).collect()
+    load = collections.Counter(r["shard"] for r in got)
+    assert set(load.values()) == {10} and all(r["shard"] == s["shard"] for r in got for s in got if (r["doc_id"] - s["doc_id"]) % 40 == 0)
+
+
 def test_targets(spark):
     sizes = {"a": 1000, "b": 10, "c": 500, None: 200}
     df = spark.createDataFrame([(k, float(v)) for k, v in sizes.items()], "source string, source_size double")

@@ -1,10 +1,10 @@
 """Best-fit-decreasing packing of indivisible groups into shards.
 
-Groups are rows with equal text. Their sizes, as counted classes, go to the driver: sizes below 2**16 are exact and
-larger ones are rounded up to 16 leading bits, so there are at most about 1.6 million classes however large the
-input is. The driver packs a whole class at a time: the tightest bin that takes one group of a size stays the tightest
-until it cannot take another, so a run of equal sizes needs one step per bin it touches and the result is that of
-packing group by group. Groups find their bin by their rank in size order.
+Groups are rows with equal text. Their exact sizes, as counted classes, go to the driver. D different sizes add up to at
+least D * (D + 1) / 2 bytes, so there are at most sqrt(2 * bytes) classes: 14 million for 100 TB. The driver packs a whole
+class at a time: the tightest bin that takes one group of a size stays the tightest until it cannot take another, so a
+run of equal sizes needs one step per bin it touches and the result is that of packing group by group. Groups find
+their bin by their rank in their class.
 """
 
 from __future__ import annotations
@@ -13,15 +13,11 @@ import random
 from collections import Counter
 from collections.abc import Iterable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ranked, stage
-
-#: Leading bits of a size that are kept.
-CLASS_BITS = 16
+from ._common import ranked, small_or_shuffled, stage
 
 
 class CapacityTree:
@@ -163,19 +159,14 @@ def _spread(classes: list[tuple[int, int]], segments: list[tuple[int, int]]) ->
     return out
 
 
-def size_class(size: str) -> str:
-    """SQL of a size rounded up to CLASS_BITS leading bits."""
-    shift = f"greatest(0, length(bin({size})) - {CLASS_BITS})"
-    return f"shiftleft(shiftright({size} + shiftleft(1L, {shift}) - 1, {shift}), {shift})"
-
-
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = 8, capacity: int | None = None) -> DataFrame:
     """One row per input row: ``<id_col>, size, text_crc32, shard, slot``.
 
     ``size`` is the text's UTF-8 bytes plus 1. Give ``capacity`` to get as few shards of that many bytes as
     best-fit-decreasing opens, or ``shards`` to get that many of the least capacity. Null texts form one group, apart
     from empty ones, of size 1 each. ``slot`` counts a shard's rows from 0, by id (null first), then content; equal
-    rows are interchangeable. An empty table gives no rows; extra columns are ignored.
+    rows are interchangeable. Groups of one size go by hash of their text. Texts of any length count whole and exactly.
+    An empty table gives no rows; extra columns are ignored.
     """
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
     base = stage(
@@ -187,32 +178,28 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
         ),
         "pack",
     )
-    groups = base.groupBy("key").agg(F.sum("size").alias("bytes")).withColumn("class", F.expr(size_class("bytes")))
-    order, _ = ranked(groups, [F.col("class").desc(), F.col("key")], "pack-groups")
-    found = order.groupBy("class").count().toPandas()  # at most about 1.6 million rows: see CLASS_BITS
-    classes = sorted(zip(found["class"].tolist(), found["count"].tolist(), strict=True), reverse=True)
+    groups = base.groupBy("key").agg(F.sum("size").alias("bytes"))
+    order, _ = ranked(groups, [F.col("bytes").desc(), F.col("key")], "pack-groups")
+    found = order.groupBy("bytes").agg(F.count("*").alias("n"), F.min("rank").alias("start")).toPandas().sort_values("bytes", ascending=False)
+    classes = list(zip(found["bytes"].tolist(), found["n"].tolist(), strict=True))
     segments = best_fit_decreasing(classes, capacity) if capacity else fit_into(classes, shards)
-    ends = np.cumsum(np.array([n for n, _ in segments], dtype=np.int64))
-    bins = np.array([b for _, b in segments], dtype=np.int32)
-    sent = df.sparkSession.sparkContext.broadcast((ends, bins))  # two numbers per class or bin
-
-    @F.pandas_udf("int")
-    def shard_of(rank: pd.Series) -> pd.Series:
-        ends, bins = sent.value
-        return pd.Series(bins[np.searchsorted(ends, rank.to_numpy(), side="right")])
-
-    placed = base.join(order.select("key", shard_of("rank").alias("shard")), "key").drop("key")
+    bins: list[list[tuple[int, int]]] = [[] for _ in classes]  # of each class, up to which rank it goes into which bin
+    k, start = -1, 0
+    for size, n, shard in _spread(classes, segments):
+        if k < 0 or classes[k][0] != size:
+            k, start = k + 1, int(found["start"].iloc[k + 1])
+        start += n
+        bins[k].append((start, shard))
+    held = pd.DataFrame({"bytes": found["bytes"], "_ends": [[e for e, _ in x] for x in bins], "_bins": [[b for _, b in x] for x in bins]})
+    held = df.sparkSession.createDataFrame(held, "bytes long, _ends array<long>, _bins array<int>")
+    shard = F.expr("element_at(_bins, cast(size(filter(_ends, e -> e <= rank)) + 1 as int))")
+    placed = order.join(small_or_shuffled(held, 64, len(classes) + len(segments)), "bytes").select("key", shard.alias("shard"))
+    placed = base.join(placed, "key").drop("key")
     rows, _ = ranked(placed, [F.col("shard"), F.col("id"), F.col("text_crc32"), F.col("size")], "pack-rows")
-    per = sorted((r["shard"], r["n"]) for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()) if shards else None
-    if per is None:
-        # With a capacity there may be many shards: their starts are joined, broadcast only when measured small.
-        from ._common import small_or_shuffled
-
+    if capacity:  # there may be many shards: their starts are joined, broadcast only when measured small
         starts = rows.groupBy("shard").agg(F.min("rank").alias("_start"))
         return rows.join(small_or_shuffled(starts, 16), "shard").select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("rank") - F.col("_start")).alias("slot"))
     start, at = F.lit(0), 0
-    for shard, n in per:  # one entry per shard asked for
+    for shard, n in sorted((r["shard"], r["n"]) for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()):  # a row per shard asked for
         start, at = F.when(F.col("shard") == shard, F.lit(at)).otherwise(start), at + n
     return rows.select(F.col("id").alias(id_col), "size", "text_crc32", "shard", (F.col("rank") - start).cast("long").alias("slot"))
-
-
