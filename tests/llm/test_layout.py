@@ -1,6 +1,7 @@
 """Extraction, sharding, mixing and the pipeline."""
 
 import collections
+import math
 import random
 import time
 import zlib
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from veilspark.llm import html_extract, mixing, sharding
+from veilspark.llm import exact_dedup, html_extract, mixing, sharding
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
@@ -308,6 +309,53 @@ def test_mix(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_rates_against_plain(spark):
+    """Each source's rates are min(3, exp(multiplier * size / mean)), the multiplier found here by plain bisection."""
+    got = mixing.mix(spark.createDataFrame(_docs(500, 9), SCHEMA).repartition(4)).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+    for rows in by.values():
+        sizes, target = [r["size"] for r in rows], rows[0]["target"]
+        mean = sum(sizes) / len(sizes)
+        rate = lambda lam, s: min(3.0, math.exp(min(50.0, lam * s / mean)))
+        lo, hi = -500.0, 500.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(s * rate(mid, s) for s in sizes) < target else (lo, mid)
+        for r in rows:
+            if r["size"]:
+                want = 3.0 if target >= 3 * sum(sizes) else rate(lo, r["size"])
+                assert r["rate"] == pytest.approx(want, rel=1e-4, abs=1e-6) and abs(r["copies"] - r["rate"]) < 1 + 1e-6
+        assert abs(sum(r["taken"] for r in rows) - target) <= max(sizes)
+
+
+def test_mix_of_many_sources_and_extremes(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", f"s{i // 3:04d}", 0) for i in range(900)]
+    rows += [(2000, "long " * 200_000, "en", "s0001", 0), (2001, "w", "en", "s9", 0), (2002, "w", "en", "s9", 0)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    taken, target, largest = collections.Counter(), {}, collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert len(target) == 301 and all(abs(taken[s] - t) <= largest[s] for s, t in target.items())
+
+
+def test_clashing_names_and_repeated_ids(spark):
+    schema = "doc_id long, text string, source string, rank int, bucket int, rate int, size int, _words int, _k int, _copies int, _copy int, _sha int, _chars2 int, _rn int, _id int"
+    rows = [(i // 2, f"{'a b' if i % 3 else 'a  b'} {i % 5}", "s", *range(i, i + 12)) for i in range(40)] + [(None, None, None, *[None] * 12)] * 2
+    df = spark.createDataFrame(rows, schema)
+    for make in (mixing.mixed, exact_dedup.drop_exact_duplicates):
+        first, again = make(df.repartition(3)), make(df.repartition(7))
+        assert first.columns == df.columns
+        got = sorted(map(repr, first.collect()))
+        assert got == sorted(map(repr, again.collect())) and set(got) <= set(map(repr, df.collect()))
+    kept = exact_dedup.drop_exact_duplicates(df).collect()
+    normal = lambda t: "".join((t or "").split())
+    assert sorted(normal(r["text"]) for r in kept) == sorted({normal(r[1]) for r in rows})
+
+
 def test_pipeline(spark, tmp_path):
     rows = [(i, f"{t} some more words of document {i // 2} here" if t else t, lang, s, n) for i, (_, t, lang, s, n) in enumerate(_docs(60))] + [(900, "12 34 !!", "en", "s1", 8)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))

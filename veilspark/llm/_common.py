@@ -64,6 +64,20 @@ def small_or_shuffled(df: DataFrame, row_bytes: int, rows: int | None = None) ->
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def by_content(df: DataFrame, text_col: str) -> list[Column]:
+    """An order of rows by what they hold, for rows whose ids are equal: by text, then by all else that can be hashed."""
+    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    return [F.sha2(F.col(text_col).cast("binary"), 256), F.xxhash64(*[F.col(f"`{c}`") for c in plain])]
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_or_shuffled, stage, text_or_empty, without_blanks
+from ._common import by_content, free_name, small_or_shuffled, stage, text_or_empty, without_blanks
 
 PREFIX_CHARS = 64
 
@@ -71,15 +71,16 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``df`` that stay, with all of its columns.
 
     Rows are matched through (id, length) of the dropped ones, counted: where ids repeat, as many rows of an id and
-    normal form stay as the operator keeps.
+    normal form stay as the operator keeps, the first by content. Columns of any name are left as they are.
     """
+    sha_col, chars_col, place = (free_name(df, c) for c in ("_sha", "_chars2", "_rn"))
     out = exact_duplicates(df, id_col, text_col)
     dropped = out.where(~F.col("kept")).groupBy(id_col, "text_sha256", F.col("n_chars").alias("_chars")).agg(F.count("*").alias("_gone"))
     sha = F.sha2(without_blanks(text_or_empty(text_col)), 256)
-    keyed = df.withColumns({"_sha": sha, "_chars2": F.length(text_or_empty(text_col)).cast("long")})
+    keyed = df.withColumns({sha_col: sha, chars_col: F.length(text_or_empty(text_col)).cast("long")})
     gone = dropped.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_s"), F.col("_chars"), "_gone")
     n = gone.count()
-    cond = keyed[id_col].eqNullSafe(gone["_id"]) & (keyed["_sha"] == gone["_s"]) & (keyed["_chars2"] == gone["_chars"])
+    cond = keyed[id_col].eqNullSafe(gone["_id"]) & (keyed[sha_col] == gone["_s"]) & (keyed[chars_col] == gone["_chars"])
     kept = out.where("kept").groupBy(id_col, "text_sha256", F.col("n_chars").alias("_chars")).agg(F.count("*").alias("_stay"))
     mixed = gone.join(kept, (gone["_id"].eqNullSafe(kept[id_col])) & (gone["_s"] == kept["text_sha256"]) & (gone["_chars"] == kept["_chars"]), "left_semi")
     if mixed.isEmpty():
@@ -87,8 +88,8 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     # Equal rows (same id, same text) of which one stays: keep the first of each by a rank inside the equal rows.
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(id_col, "_sha", "_chars2").orderBy(F.lit(1))
+    w = W.partitionBy(id_col, sha_col, chars_col).orderBy(*by_content(df, text_col))
     stay = kept.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_s"), "_chars", "_stay")
-    ranked = keyed.withColumn("_rn", F.row_number().over(w))
-    cond = ranked[id_col].eqNullSafe(stay["_id"]) & (ranked["_sha"] == stay["_s"]) & (ranked["_chars2"] == stay["_chars"])
-    return ranked.join(stay, cond).where("_rn <= _stay").select(*[ranked[c] for c in df.columns])
+    ranked = keyed.withColumn(place, F.row_number().over(w))
+    cond = ranked[id_col].eqNullSafe(stay["_id"]) & (ranked[sha_col] == stay["_s"]) & (ranked[chars_col] == stay["_chars"])
+    return ranked.join(stay, cond).where(ranked[place] <= stay["_stay"]).select(*[ranked[c] for c in df.columns])

@@ -12,9 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ._common import small_or_shuffled, stage, word_count
+from ._common import by_content, free_name, ranked, small_or_shuffled, stage, word_count
 
-MAX_STEPS = 60
 TOLERANCE = 1e-6
 
 
@@ -22,25 +21,23 @@ def source_targets(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), cap:
     """Adds ``weight`` and ``target`` to one row per ``source`` with ``source_size``.
 
     Sources in code point order (null last) weigh ``cycle`` repeating. A source stops at ``cap`` times its size; the
-    excess is shared again by weight. That level is found in one pass over the sources in the order in which they
-    stop. The table has one row per source.
+    excess is shared again by weight until none is above. Each sharing is an aggregation over the sources, which are
+    ranked by ranges, so that their number is not bounded by one task.
     """
-    order = W.orderBy(F.col("source").isNull(), F.col("source"))
-    k = (F.row_number().over(order) - 1) % len(cycle)
-    w = F.element_at(F.array(*[F.lit(float(c)) for c in cycle]), (k + 1).cast("int"))
-    ratio = F.col("source_size") * cap / F.col("weight")
-    by_stop = W.orderBy("_ratio", F.col("source").isNull(), F.col("source"))
-    before = by_stop.rowsBetween(W.unboundedPreceding, -1)
-    rest = by_stop.rowsBetween(0, W.unboundedFollowing)
-    everything = by_stop.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    weighed = sources.withColumn("weight", w).withColumn("_ratio", ratio)
-    # Level if exactly the sources before this one stop; the first source whose own stop lies above it ends the search.
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * cap).over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    found = weighed.withColumn("_level", level)
-    here = F.struct("_ratio", F.col("source").isNull().alias("_none"), "source", "_level")
-    first = F.min(F.when(F.col("_ratio") >= F.col("_level"), here)).over(everything)["_level"]
-    target = F.least(F.col("source_size") * cap, F.coalesce(F.col("weight") * first, F.col("source_size") * cap))
-    return found.withColumn("target", target.cast("double")).drop("_ratio", "_level")
+    placed, _ = ranked(sources, [F.col("source").isNull(), F.col("source")], "mix-sources")
+    w = F.element_at(F.array(*[F.lit(c) for c in cycle]), (F.col("rank") % len(cycle) + 1).cast("int"))
+    placed = placed.withColumn("weight", w).drop("rank")
+    level, stopped = 0.0, -1
+    while True:
+        stops = F.col("weight") * F.lit(level) > F.col("source_size") * float(cap)
+        whole, full, open_, n = placed.agg(
+            F.sum("source_size"), F.sum(F.when(stops, F.col("source_size"))), F.sum(F.when(~stops, F.col("weight"))), F.sum(stops.cast("long"))
+        ).first()
+        if n in (None, stopped) or not open_:
+            break
+        stopped = n if level else -1
+        level = (whole - (full or 0) * float(cap)) / open_
+    return placed.withColumn("target", F.least(F.col("source_size") * float(cap), F.col("weight") * F.lit(level)).cast("double"))
 
 
 def _rate(lam: Column, z: Column, cap: float) -> Column:
@@ -60,7 +57,9 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFra
         ),
         "mix-state",
     )
-    for _ in range(MAX_STEPS):
+    step = 0
+    while True:  # at the latest every third step halves a bracket
+        step += 1
         r = _rate(F.col("lam"), F.col("z"), cap)
         sums = (
             base.select("source_key", "size", "n", "z")
@@ -78,8 +77,8 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFra
         newton = F.col("lam") - gap / F.when(F.col("slope") > 0, F.col("slope"))
         wide = (hi - lo) > 1e5
         other = F.when(wide, F.when(gap < 0, F.greatest(F.col("lam") * 2, F.lit(0.5))).otherwise(F.least(F.col("lam") * 2, F.lit(-0.5)))).otherwise((lo + hi) / 2)
-        fits = (F.col("slope") > 0) & (newton > lo) & (newton < hi) & (F.abs(newton - F.col("lam")) <= F.greatest(F.abs(F.col("lam")), F.lit(4.0)))
-        done = F.col("done") | (F.abs(gap) <= F.col("target") * TOLERANCE) | ((hi - lo) < 1e-12) | (F.col("lam") > 1e4)
+        fits = F.lit(step % 3 > 0) & (F.col("slope") > 0) & (newton > lo) & (newton < hi) & (F.abs(newton - F.col("lam")) <= F.greatest(F.abs(F.col("lam")), F.lit(4.0)))
+        done = F.col("done") | (F.abs(gap) <= F.col("target") * TOLERANCE) | ((hi - lo) <= 1e-12 * F.greatest(F.lit(1.0), F.abs("lam"))) | (F.col("lam") > 1e4)
         state = stage(
             state.join(small(sums), "source_key", "left").select(
                 "source_key",
@@ -105,8 +104,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     ``size`` is the text's words (null: 0), ``taken`` = copies * size with at most ``cap`` copies. A null source is a
     source of its own. Rows without words get rate 1 and take nothing. Equal rows are interchangeable; ids may repeat
     or be null. Ranks inside a class come from hashed sub-buckets, about the root of the class's count, so a class of
-    a third of all rows is spread too. Results depend on the rows alone, not on their partitioning. The table of
-    sources is broadcast when its counted rows are few, else joined by shuffle.
+    a third of all rows is spread too. Texts of any length count whole; an empty table gives no rows; extra columns are
+    ignored. Results depend on the rows alone, not on their partitioning. The table of sources is broadcast when its
+    counted rows are few, else joined by shuffle.
     """
     key = F.when(F.col(source_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source_col)))
     light = stage(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("source_key"), word_count(text_col).alias("size")), "mix")
@@ -141,18 +141,20 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The rows of ``df``, each as often as the mix takes it (rows without words: once), with its columns.
 
     Copies are found by id, source and size: by a broadcast of the counted plan when it is small, else by a shuffle.
-    Where that key repeats, the rows that share it are numbered, on both sides.
+    Where that key repeats, the rows that share it are numbered, by content on the one side and by copies on the other,
+    so that reruns agree.
     """
+    words, place, copy = (free_name(df, c) for c in ("_words", "_k", "_copy"))
     plan = stage(mix(df, id_col, text_col, source_col, cycle, cap).select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")), "mix-copies")
     rows = plan.count()
-    keyed = df.withColumn("_words", word_count(text_col))
-    match = keyed[id_col].eqNullSafe(plan["_id"]) & keyed[source_col].eqNullSafe(plan["_source"]) & (keyed["_words"] == plan["_size"])
+    keyed = df.withColumn(words, word_count(text_col))
     if plan.groupBy("_id", "_source", "_size").count().where("count > 1").isEmpty():
-        joined = keyed.join(small_or_shuffled(plan, 64, rows), match)
+        other = small_or_shuffled(plan, 64, rows)
+        numbered = F.lit(True)
     else:
-        keyed = keyed.withColumn("_k", F.row_number().over(W.partitionBy(id_col, source_col, "_words").orderBy(F.lit(1))))
-        plan = plan.withColumn("_k2", F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy("_copies")))
-        match = keyed[id_col].eqNullSafe(plan["_id"]) & keyed[source_col].eqNullSafe(plan["_source"]) & (keyed["_words"] == plan["_size"]) & (keyed["_k"] == plan["_k2"])
-        joined = keyed.join(plan, match)
-    taken = joined.where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+        keyed = keyed.withColumn(place, F.row_number().over(W.partitionBy(id_col, source_col, words).orderBy(*by_content(df, text_col))))
+        other = plan.withColumn("_k2", F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy("_copies")))
+        numbered = keyed[place] == other["_k2"]
+    match = keyed[id_col].eqNullSafe(other["_id"]) & keyed[source_col].eqNullSafe(other["_source"]) & (keyed[words] == other["_size"])
+    taken = keyed.join(other, match & numbered).where(other["_copies"] > 0)
+    return taken.select(*[keyed[c] for c in df.columns], F.explode(F.sequence(F.lit(1), other["_copies"])).alias(copy)).select(*df.columns)
