@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +51,38 @@ def in_worker(key, make: Callable):
     """What ``make()`` gives, kept by the worker process under ``key``. A worker holds one such object: what an earlier
     stage of a job left behind goes."""
     if key not in _HELD:
-        _HELD.clear()
+        forget()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Batches to Python workers of about ``size`` bytes, unless the session asks for smaller ones than by default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(filter(str.isdigit, spark.conf.get(name))) or 0) >= 64 << 20:  # the default, or more
+        spark.conf.set(name, str(size))
+
+
+def forget() -> None:
+    """Empties what this worker holds, and gives free memory back. Workers outlive the stage that they were started for."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over the batches of a task, after which the worker gives back what memory it can."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+
+    return whole
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, shuffle_partitions, stage
+from ._common import BROADCAST_BYTES, forget, shuffle_partitions, stage, tidy
 from ._words import slices, word_spans
 
 CHUNK_SCHEMA = "chunk_id long, ids binary, known binary, offsets binary, body binary, n_words long"
@@ -72,7 +72,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
                 )
                 k += 1
 
-    return stage(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, CHUNK_SCHEMA), name)
+    return stage(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(cut), CHUNK_SCHEMA), name)
 
 
 _CHUNK_ARROW = pa.schema([("chunk_id", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("offsets", pa.binary()), ("body", pa.binary()), ("n_words", pa.int64())])
@@ -147,9 +147,12 @@ def ask(
 
     def reply(t: pa.Table) -> pa.Table:
         got = t.column("payload").to_pylist()
-        return pa.Table.from_pydict({"chunk_id": t.column("chunk_id"), "p": t.column("p"), "reply": answer(got)}, schema=_REPLY)
+        try:
+            return pa.Table.from_pydict({"chunk_id": t.column("chunk_id"), "p": t.column("p"), "reply": answer(got)}, schema=_REPLY)
+        finally:
+            forget()
 
-    sent = table.mapInArrow(send, "p int, chunk_id long, payload binary")
+    sent = table.mapInArrow(tidy(send), "p int, chunk_id long, payload binary")
     back = sent.groupBy("p").applyInArrow(reply, "chunk_id long, p int, reply binary")
     # As many replies for a chunk as answerers, together as long as the chunk's distinct keys.
     gathered = back.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("p", "reply"))).alias("_r"))

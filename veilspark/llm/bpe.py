@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from ._common import in_worker, stage
+from ._common import bounded_batches, in_worker, stage, tidy
 from ._words import slices
 
 #: Words in the lexicon, at most. They change the speed only.
 LEXICON_WORDS = 65_536
 #: Bytes of text that are encoded, and counted, together; a longer text is taken alone.
-SLICE_BYTES, COUNT_BYTES = 4 << 20, 16 << 20
+SLICE_BYTES, COUNT_BYTES = 2 << 20, 8 << 20
+#: Characters from which on a text is encoded in parts, where its blanks allow it.
+LONG_CHARS = 1 << 20
 #: Words up to this many bytes are merged together.
 TOGETHER = 32
 _BITS = 24
@@ -201,8 +203,9 @@ def _sums(size: np.ndarray) -> np.ndarray:
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of all the ranges, end to end."""
     at = _sums(size)
-    out = np.repeat(begin - at[:-1], size)
-    out += np.arange(len(out))
+    kind = np.int32 if int(at[-1]) + int(begin.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((begin - at[:-1]).astype(kind), size)
+    out += np.arange(len(out), dtype=kind)
     return out
 
 
@@ -338,6 +341,17 @@ _CROWDED = rf"[{_WS}] | [{_WS}]".replace(r"\x85", r"\x{85}").replace(r"\xa0", r"
 _CROWDED = regex.sub(r"\\x([0-9a-f]{4})", r"\\x{\1}", _CROWDED)  # as Arrow's patterns write code points
 
 
+def _cut_at_blanks(text: str) -> Iterator[str]:
+    """Parts of about LONG_CHARS, each but the first with the blank that it begins with: where no blank stands beside
+    white space, every blank begins a word. Text without blanks goes whole."""
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + LONG_CHARS)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
 class Codec:
     """Encoder and decoder of one worker."""
 
@@ -377,12 +391,13 @@ class Codec:
             out[begin[rows][:, None] + np.arange(ids.shape[1])] = ids
         return out, begin, n
 
-    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode_all(self, texts: pa.Array, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), end to end, and where each text's begin (and the end).
 
         A text is a row of parts: where single blanks stand between other characters each begins a word, so the text
         is cut there and each distinct part of the slice is taken apart once. Other texts, and those with special
-        tokens, are taken apart as they stand, each of their words being a part.
+        tokens, are taken apart as they stand, each of their words being a part. A long text alone goes in parts,
+        unless it must go ``whole``.
         """
         findall = _pattern().findall
         texts = texts.fill_null("") if texts.null_count else texts
@@ -390,6 +405,9 @@ class Codec:
         for t in self.vocabulary.special:
             odd = pc.or_(odd, pc.match_substring(texts, t))
         odd = np.asarray(odd.to_numpy(zero_copy_only=False), dtype=bool)
+        if not whole and len(texts) == 1 and not odd[0] and len(text := texts[0].as_py()) > LONG_CHARS:
+            ids = np.concatenate([self.encode_all(pa.array([part], pa.string()), True)[0] for part in _cut_at_blanks(text)])
+            return ids, np.array([0, len(ids)])
         words: dict[str, int] = defaultdict()
         words.default_factory = words.__len__
         plain = np.flatnonzero(~odd)
@@ -404,11 +422,11 @@ class Codec:
         rows = []
         for at in range(0, len(solid), 1 << 16):
             found = findall(" " + " ".join(map(parts.__getitem__, solid[at : at + (1 << 16)])))
-            rows.append(np.fromiter(map(words.__getitem__, found), dtype=np.int64, count=len(found)))
+            rows.append(np.fromiter(map(words.__getitem__, found), dtype=np.int32, count=len(found)))
         if len(solid) < len(parts):
             solid.append(parts.index(""))
-            rows.append(np.array([words[" "]]))
-        after_blank = np.concatenate([np.zeros(0, dtype=np.int64), *rows])
+            rows.append(np.array([words[" "]], dtype=np.int32))
+        after_blank = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
         blank = np.fromiter((w[0] == " " for w in words), dtype=bool, count=len(words))
         cuts = np.append(np.flatnonzero(blank[after_blank]), len(after_blank))
         begin, count = np.empty(len(parts), dtype=np.int64), np.empty(len(parts), dtype=np.int64)
@@ -416,10 +434,10 @@ class Codec:
         # Parts that begin a text have no blank before them.
         heads, starts = [], cut[:-1]
         for k in kind[starts].tolist():
-            heads.append(np.fromiter(map(words.__getitem__, findall(parts[k])), dtype=np.int64))
-        whole = [np.fromiter((words[w] for w in self._taken_apart(texts[i].as_py())), dtype=np.int64) for i in np.flatnonzero(odd).tolist()]
-        size = np.fromiter(map(len, [*heads, *whole]), dtype=np.int64, count=len(texts))
-        flat = np.concatenate([after_blank, *heads, *whole])
+            heads.append(np.fromiter(map(words.__getitem__, findall(parts[k])), dtype=np.int32))
+        odd_words = [np.fromiter((words[w] for w in self._taken_apart(texts[i].as_py())), dtype=np.int32) for i in np.flatnonzero(odd).tolist()]
+        size = np.fromiter(map(len, [*heads, *odd_words]), dtype=np.int64, count=len(texts))
+        flat = np.concatenate([after_blank, *heads, *odd_words])
         extra = len(after_blank) + np.cumsum(size) - size
         part_from, part_size = begin[kind], count[kind]
         part_from[starts], part_size[starts] = extra[: len(plain)], size[: len(plain)]
@@ -430,6 +448,7 @@ class Codec:
             by = np.argsort(of, kind="stable")
             all_from, all_size, of = all_from[by], all_size[by], of[by]
         word = flat[_ranges(all_from, all_size)]
+        del split, coded, kind, part_from, part_size
         ids, id_from, id_size = self._words(words)
         size = id_size[word]
         text_ends = _sums(all_size)[np.searchsorted(of, np.arange(len(texts) + 1))]
@@ -474,7 +493,7 @@ def frequent_words(df: DataFrame, text_col: str, most: int) -> list[str]:
                 found = split.flatten().value_counts()
                 yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts").cast(pa.int64())], names=["word", "n"])
 
-    counted = stage(df.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counted = stage(df.select(text_col).mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # Distinct counts are few (their sum is at most the corpus): the least count that fits is found from them.
     least, total = None, 0
     for n, words in sorted(((r["n"], r["words"]) for r in counted.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True):
@@ -489,6 +508,7 @@ class Encoder:
     """A vocabulary with the lexicon of a corpus, ready to be used on DataFrames."""
 
     def __init__(self, df: DataFrame, path: str, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> None:
+        bounded_batches(df.sparkSession)
         vocabulary = Vocabulary(path)
         words = frequent_words(df, text_col, lexicon_words)
         blob = Transducer.compiled({w.encode(): vocabulary.merge(w.encode()) for w in words})
@@ -519,7 +539,7 @@ class Encoder:
                     yield pa.RecordBatch.from_arrays([*rows.columns, lists], names=[*rows.schema.names, out_col])
 
         schema = StructType([*df.select(*kept).schema.fields, StructField(out_col, ArrayType(IntegerType()))])
-        return df.select(*kept).mapInArrow(run, schema)
+        return df.select(*kept).mapInArrow(tidy(run), schema)
 
     def decode(self, df: DataFrame, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
         """``df`` with the text of each id array (null: empty text) in ``out_col``; ids must be of the vocabulary."""
@@ -545,7 +565,7 @@ class Encoder:
                     text_sha = [hashlib.sha256(x.encode()).hexdigest() for x in codec.decode_all(ids, offsets)]
                     yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-        return df.select(id_col, text_col).mapInArrow(digest, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return df.select(id_col, text_col).mapInArrow(tidy(digest), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:

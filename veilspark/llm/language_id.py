@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, in_worker, stage
+from ._common import crc_mod, forget, stage, tidy
 from ._words import doc_of_word, gram_hashes, inside, mix64, slices, text_buffer, word_hashes
 
 #: Labelled rows that the classifier is fitted on, and bytes of their texts, at most about: rows are taken by a hash of
@@ -198,7 +198,7 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows:
 
 def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
     """The model of the whole vocabulary of the sampled rows."""
-    counted = sample(labelled, id_col, text_col, lang_col, rows, size).mapInArrow(_count, "lang string, n int, key long, count long").groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
+    counted = sample(labelled, id_col, text_col, lang_col, rows, size).mapInArrow(tidy(_count), "lang string, n int, key long, count long").groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
     got = stage(counted, "language-counts").toArrow()  # bounded by the sample's text
     lang = got.column("lang").combine_chunks().dictionary_encode()
     names = np.array([*lang.dictionary.to_pylist()], dtype=object)
@@ -219,16 +219,19 @@ def identify(df: DataFrame, training: DataFrame | None = None, id_col: str = "do
 
     @F.arrow_udf("lang string, score double")
     def predict(texts: pa.Array) -> pa.Array:
-        model = in_worker(("language", id(sent.value)), lambda: sent.value)
+        model = sent.value
         names, scores = [], []
         most = _SLICE * 8 // max(8, len(model.languages))
         for rows, _, _ in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", most):
             lang, score = model.predict(rows.column(0))
             names += lang
             scores.append(score)
+        forget()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], fields=list(kind))
 
-    return df.withColumn("_language", predict(F.col(text_col))).withColumns({"lang_pred": F.col("_language.lang"), "score": F.col("_language.score")}).drop("_language")
+    # Filters on the result must not run it a second time, in a second worker.
+    once = predict.asNondeterministic()
+    return df.withColumn("_language", once(F.col(text_col))).withColumns({"lang_pred": F.col("_language.lang"), "score": F.col("_language.score")}).drop("_language")
 
 
 def held_out(id_col: str = "doc_id", modulus: int = 3, rest: int = 1) -> Column:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
 from ._exchange import Chunk, ask, bounds, chunks, pack_counts, pack_keys, parts_for, rows_of, unpack_counts, unpack_keys, with_replies
 from ._words import FOLD, mix64, word_hashes
 
@@ -261,7 +262,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus
                 schema=_OUT,
             )
 
-    out = full.mapInArrow(finish, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = full.mapInArrow(tidy(finish), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, stage
+from ._common import BROADCAST_BYTES, forget, stage, tidy
 from ._components import components
 from ._exchange import Chunk, ask, bounds, chunks, parts_for, rows_of, squeeze, unsqueeze, with_replies
 from ._words import FOLD, doc_of_word, gram_hashes, inside, mix64, word_hashes, word_spans
@@ -297,7 +297,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ids = pa.array(s.chunk.ids, mask=~s.chunk.known)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x.view(np.int64)) for x in (s.node, s.fa, s.fb, s.size.astype(np.int64)))], names=["id", "node", "fa", "fb", "size"])
 
-    rows = stage(table.mapInArrow(describe, "id long, node long, fa long, fb long, size long"), "near-rows")
+    rows = stage(table.mapInArrow(tidy(describe), "id long, node long, fa long, fb long, size long"), "near-rows")
     kinds = rows.where("size > 0").groupBy("fa", "fb", "size").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.min("id").alias("least_id"))
     kinds = stage(kinds, "near-classes")
     reps = rows.where("size > 0").join(kinds.select("fa", "fb", "size", "rep"), ["fa", "fb", "size"]).select("node", "rep")
@@ -339,7 +339,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             pairs = _star(keys, nodes)[2]
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    met = told.mapInArrow(send, "p int, payload binary").groupBy("p").applyInArrow(meet, "a long, b long")
+    met = told.mapInArrow(tidy(send), "p int, payload binary").groupBy("p").applyInArrow(meet, "a long, b long")
     met = stage(met.distinct(), "near-met")
     by_rep = met.join(reps.withColumnsRenamed({"node": "a", "rep": "ra"}), "a").join(reps.withColumnsRenamed({"node": "b", "rep": "rb"}), "b")
     families = stage(components(by_rep.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "near-families")
@@ -405,11 +405,12 @@ def _links(table: DataFrame, families: DataFrame, kinds: DataFrame, n: int, perc
                 links[b] = links.get(b, 0) + copies[x]
                 if forest.join(a, b):
                     span.append((a, b))
+        forget()
         a = [x for x, _ in span] + [None] * len(links)
         b = [y for _, y in span] + [None] * len(links)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "node": pa.array([None] * len(span) + list(links), pa.int64()), "links": pa.array([None] * len(span) + list(links.values()), pa.int64())})
 
-    shipped = full.mapInArrow(ship, "task long, label long, i int, j int, side int, node long, copies long, text binary")
+    shipped = full.mapInArrow(tidy(ship), "task long, label long, i int, j int, side int, node long, copies long, text binary")
     return stage(shipped.groupBy("task").applyInArrow(join, "a long, b long, node long, links long"), "near-links")
 
 

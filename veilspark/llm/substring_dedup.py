@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
 from ._exchange import Chunk, ask, bits, bounds, chunks, pack_keys, parts_for, rows_of, squeeze, unpack_keys, unsqueeze, with_replies
 from ._words import doc_of_word, double, inside, word_hashes
 
@@ -238,5 +239,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for row in rows_of(batches):
             yield _remove(_Walk(row, length, answered, extend, final=True), length)
 
-    out = table.mapInArrow(finish, "id long, n_words long, n_removed long, longest long, removed array<struct<start:long,end:long>>, kept_text string")
+    out = table.mapInArrow(tidy(finish), "id long, n_words long, n_removed long, longest long, removed array<struct<start:long,end:long>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
