@@ -99,3 +99,13 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([("x",)], "text string")
     plan = Engine([CARD], ["secrets"]).redact(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_functions_keep_the_options(spark):
+    df = spark.createDataFrame([("mail a@b.com ticket T-12",), ("",), (None,)], "text string")
+    rule = Rule("T", r"T-\d+")
+    for k, options in enumerate(({"backend": "none", "markers": {"T": "<t>"}}, {"markers": {"T": None}}, {"enabled": []}, {"markers": lambda s, i: f"<{i}>"}, {})):
+        engine = Engine([rule], **options)
+        engine.register(spark, f"opt{k}")
+        want = [r[0] for r in engine.redact(df).select("redacted_text").collect()]
+        assert [r[0] for r in df.selectExpr(f"opt{k}_redact(text)").collect()] == want

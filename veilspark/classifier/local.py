@@ -74,21 +74,46 @@ def splice(text: str, spans: list[dict], base: int = 0) -> str:
     return text
 
 
+def _settled(engine: Engine):
+    """Detection with the engine's rules, backend, categories, markers and least confidence."""
+    from ..engine import backend_named
+    from ..schema import EngineError, ErrorCode
+
+    patterns = {backend_named("pattern"): PATTERNS, backend_named("none"): ()}.get(engine.backend)
+    if patterns is None:
+        raise EngineError("SQL functions know the backends pattern and none", ErrorCode.BACKEND_UNAVAILABLE)
+    rules, enabled, markers, least = tuple(engine.rules), engine.enabled, engine.markers, engine.min_confidence
+
+    def run(text: str | None, marked: bool) -> list[dict]:
+        spans, k = [s for s in detect(text or "", rules, patterns) if s["confidence"] >= least], 0
+        for s in spans if marked else ():
+            if s["source"] != "rule" and enabled is not None and s["label"] not in enabled:
+                s["marker"] = s["text"]
+            elif callable(markers):
+                s["marker"], k = markers(dict(s), k), k + 1
+                s["marker"] = s["text"] if s["marker"] is None else s["marker"]
+            elif s["label"] in (markers or {}):
+                s["marker"] = s["text"] if markers[s["label"]] is None else markers[s["label"]]
+        return spans
+
+    return run
+
+
 def local_spans(engine: Engine):
-    rules = tuple(engine.rules)
+    run_one = _settled(engine)
 
     @F.pandas_udf(SPANS_SQL)
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: detect(t or "", rules))
+        return texts.map(lambda t: run_one(t, False))
 
     return run
 
 
 def local_redact(engine: Engine):
-    rules = tuple(engine.rules)
+    run_one = _settled(engine)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: splice(t or "", detect(t or "", rules)))
+        return texts.map(lambda t: splice(t or "", run_one(t, True)))
 
     return run
