@@ -449,6 +449,7 @@ class Codec:
             all_from, all_size, of = all_from[by], all_size[by], of[by]
         word = flat[_ranges(all_from, all_size)]
         del split, coded, kind, part_from, part_size
+        words.default_factory = None  # else the words of a slice hold themselves, until a collection that hardly comes
         ids, id_from, id_size = self._words(words)
         size = id_size[word]
         text_ends = _sums(all_size)[np.searchsorted(of, np.arange(len(texts) + 1))]
