@@ -26,6 +26,7 @@ CHUNK_SCHEMA = "chunk_id long, ids binary, known binary, offsets binary, body bi
 KEYS_PER_PART = 2_000_000
 
 
+_U = np.uint64
 _ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -55,8 +56,10 @@ class Chunk:
         return self.buf[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """The staged chunk table of ``df``; ids are cast to long, null text is empty."""
+def chunks(df: DataFrame, id_col: str, text_col: str, name: str, more: Callable | None = None, more_names: tuple[str, ...] = ()) -> DataFrame:
+    """The staged chunk table of ``df``; ids are cast to long, null text is empty. ``more(buf, starts, ends, first)``
+    gives further binary columns, made once from a chunk's words."""
+    extra = [(c, pa.binary()) for c in more_names]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -65,14 +68,16 @@ def chunks(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
                 ids = rows.column(0)
                 known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), dtype=bool)
                 values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                n = len(word_spans(buf, off)[0])
+                spans = word_spans(buf, off)
+                made = zip(more_names, more(buf, *spans) if more else (), strict=True)
                 yield pa.RecordBatch.from_pydict(
-                    {"chunk_id": [(part << 32) | k], "ids": [values.tobytes()], "known": [known.tobytes()], "offsets": [off.tobytes()], "body": [squeeze(buf.tobytes())], "n_words": [n]},
-                    schema=_CHUNK_ARROW,
+                    {"chunk_id": [(part << 32) | k], "ids": [values.tobytes()], "known": [known.tobytes()], "offsets": [off.tobytes()], "body": [squeeze(buf.tobytes())], "n_words": [len(spans[0])]}
+                    | {c: [v] for c, v in made},
+                    schema=pa.schema([*_CHUNK_ARROW, *extra]),
                 )
                 k += 1
 
-    return stage(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(cut), CHUNK_SCHEMA), name)
+    return stage(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(cut), ", ".join((CHUNK_SCHEMA, *(f"{c} binary" for c in more_names)))), name)
 
 
 _CHUNK_ARROW = pa.schema([("chunk_id", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("offsets", pa.binary()), ("body", pa.binary()), ("n_words", pa.int64())])
@@ -85,6 +90,17 @@ def parts_for(spark, keys: int) -> int:
     return max(shuffle_partitions(spark), math.ceil(keys / KEYS_PER_PART))
 
 
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """``np.argsort(keys, kind="stable")`` of 64-bit hashes by a plain sort: the leading bits of each with its position
+    below them. Different keys with the same leading bits may come out of order; then the keys are sorted whole."""
+    low = _U((1 << max(1, (len(keys) - 1).bit_length())) - 1)
+    packed = (keys & ~low) | np.arange(len(keys), dtype=_U)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    got = keys[order]
+    return np.argsort(keys, kind="stable") if (got[1:] < got[:-1]).any() else order
+
+
 def bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     """Where sorted 64-bit keys are cut for ``parts`` answerers of equal key ranges: parts + 1 positions."""
     step = (1 << 64) // parts

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import tidy
-from ._exchange import Chunk, ask, bits, bounds, chunks, pack_keys, parts_for, rows_of, squeeze, unpack_keys, unsqueeze, with_replies
-from ._words import doc_of_word, double, inside, word_hashes
+from ._exchange import Chunk, ask, bits, bounds, chunks, pack_keys, parts_for, rows_of, squeeze, stable_order, unpack_keys, unsqueeze, with_replies
+from ._words import doc_of_word, double, inside, mix64, word_hashes
 
 _U = np.uint64
 #: Leading bits of a hash by which windows shorter than the wanted ones are compared: equal bits of different windows
@@ -41,16 +41,42 @@ def levels(length: int, extend: bool) -> Iterator[int]:
         length *= 2
 
 
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorting order by the keys (first is foremost) and, in that order, where a new group of all but the last
-    begins."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), dtype=bool)
-    if len(order):
-        new[0] = True
-        for k in keys[:-1]:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
+#: Columns of the chunk table beside the texts: the hashes of a chunk's distinct words, which of them each word is, and
+#: where documents begin. Passes read these; only the last one reads the texts.
+_WORDS = ("vocabulary", "codes", "firsts")
+
+
+def _coded(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    hashes = word_hashes(buf, starts, ends, 0)
+    order = stable_order(hashes)
+    new = _new(hashes[order])
+    codes = np.empty(len(hashes), dtype="<u4")
+    codes[order] = np.cumsum(new) - 1
+    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T)
+    return pack_keys(hashes[order][new]), squeeze(planes.tobytes()), first.astype("<i8").tobytes()
+
+
+def _decoded(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes and where documents begin, of a chunk."""
+    planes = np.frombuffer(unsqueeze(row["codes"]), dtype=np.uint8).reshape(4, -1)
+    codes = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return unpack_keys(row["vocabulary"])[codes], np.frombuffer(row["firsts"], dtype="<i8")
+
+
+def _new(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins."""
+    new = np.ones(len(sorted_keys), dtype=bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    return new
+
+
+def _windows(lead: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of windows by both parts of their hash, and in that order where a new window begins."""
+    order = stable_order(lead)
+    new, r = _new(lead[order]), rest[order]
+    if (~new[1:] & (r[1:] != r[:-1])).any():  # one lead, different rests
+        order = np.lexsort((rest, lead))
+        new = _new(lead[order]) | _new(rest[order])
     return order, new
 
 
@@ -58,15 +84,15 @@ class _Walk:
     """One chunk's way through the ``answered`` levels; unless ``final``, then what it asks at the next one."""
 
     def __init__(self, row: dict, length: int, answered: int, extend: bool, final: bool = False) -> None:
-        self.chunk = chunk = Chunk(row)
         self.parts, self.payload, self.shift = row["parts"], None, _SHORT
-        doc = doc_of_word(chunk.first)
-        ga = word_hashes(chunk.buf, chunk.starts, chunk.ends, 0)
+        doc_ids, known = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["known"], dtype=bool)
+        ga, first = _decoded(row)
+        doc = doc_of_word(first)
         # More bits of hash, only for windows that decide.
-        gb = word_hashes(chunk.buf, chunk.starts, chunk.ends, 1) if 1 << answered >= length else None
+        gb = mix64(ga + _U(1)) if 1 << answered >= length else None
         n = max(0, len(ga) - length + 1)
-        ok = inside(chunk.first, length)[:n] & np.repeat(chunk.known, np.diff(chunk.first))[:n]
-        self.removed, self.longest = np.zeros(n, dtype=bool), np.zeros(len(chunk), dtype=np.int64)
+        ok = inside(first, length)[:n] & known[doc[:n]]
+        self.removed, self.longest = np.zeros(n, dtype=bool), np.zeros(len(doc_ids), dtype=np.int64)
         prev = 1
         for k, size in enumerate(levels(length, extend)):
             if final and k == answered:
@@ -84,13 +110,13 @@ class _Walk:
                 continue
             self.shift = _U(0)
             at = np.flatnonzero(ok)
-            ids = chunk.ids[doc[at]]
+            ids = doc_ids[doc[at]]
             lead, rest = ga[at], (gb[at] & _U(0xFFFFFFFF)).astype(np.uint32)
-            order, new = _groups(lead, rest, ids)
-            group = np.cumsum(new) - 1
-            self.keys, least = lead[order][new], ids[order][new]
+            order, new = _windows(lead, rest)
+            starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+            self.keys, least = lead[order][new], np.minimum.reduceat(ids[order], starts) if len(at) else ids
             if k == answered:
-                self.payload = (rest[order][new], least, ids[order][_ends(new)])
+                self.payload = (rest[order][new], least, np.maximum.reduceat(ids[order], starts) if len(at) else ids)
                 return
             smaller, other = _two_flags(row[f"r{k}"], np.diff(bounds(self.keys, self.parts)))
             if size == length:
@@ -108,15 +134,16 @@ class _Walk:
         edge[starts] += 1
         edge[starts + beyond + 1] -= 1
         at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        keys = hashes[at] >> self.shift
-        order = np.argsort(keys, kind="stable")  # within a key, documents rise
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = keys[order][1:] != keys[order][:-1]
-        self.keys = keys[order][new]
+        keys = hashes[at] >> self.shift << self.shift
         if k == answered:
+            keys.sort()
+            self.keys = keys[_new(keys)] >> self.shift
             return ok
+        order = stable_order(keys)  # within a key, documents rise
+        new = _new(keys[order])
+        keys = keys[order][new]
         in_doc = doc[at[order]]
-        shared = (in_doc[new] != in_doc[_ends(new)]) | bits(row[f"r{k}"], np.diff(bounds(self.keys << self.shift, self.parts)))
+        shared = (in_doc[new] != in_doc[_ends(new)]) | bits(row[f"r{k}"], np.diff(bounds(keys, self.parts)))
         alone = np.zeros(len(hashes) + 1, dtype=np.int32)
         alone[at[order] + 1] = ~shared[np.cumsum(new) - 1]
         alone = np.cumsum(alone, dtype=np.int32)
@@ -148,8 +175,11 @@ def _two_flags(replies: list[bytes] | None, counts: np.ndarray) -> tuple[np.ndar
 def _shared_elsewhere(payloads: list[bytes]) -> list[bytes]:
     arrays = [unpack_keys(p) for p in payloads]
     keys = np.concatenate(arrays)
-    _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    return _in_turn(np.packbits, counts[inverse] > 1, arrays)
+    order = stable_order(keys << _SHORT)
+    new = _new(keys[order])
+    shared = np.empty(len(keys), dtype=bool)
+    shared[order] = ~(new & _ends(new))
+    return _in_turn(np.packbits, shared, arrays)
 
 
 def _in_turn(pack, flags: np.ndarray, arrays: list[np.ndarray]) -> list[bytes]:
@@ -168,10 +198,10 @@ def _owners(payloads: list[bytes]) -> list[bytes]:
         n = len(data) // 28
         parts.append((np.frombuffer(data, _U, n), np.frombuffer(data, np.uint32, n, 8 * n), np.frombuffer(data, np.int64, n, 12 * n), np.frombuffer(data, np.int64, n, 20 * n)))
     lead, rest, least, most = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order, new = _groups(lead, rest, least)
+    order, new = _windows(lead, rest)
     starts = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    lo, hi = least[order][starts], np.maximum.reduceat(most[order], starts)
+    lo, hi = np.minimum.reduceat(least[order], starts), np.maximum.reduceat(most[order], starts)
     smaller, other = np.empty(len(lead), dtype=bool), np.empty(len(lead), dtype=bool)
     smaller[order] = lo[group] < least[order]
     other[order] = (lo != hi)[group]
@@ -188,8 +218,7 @@ _OUT = pa.schema(
 )
 
 
-def _remove(walk: _Walk, length: int) -> pa.RecordBatch:
-    chunk = walk.chunk
+def _remove(walk: _Walk, chunk: Chunk, length: int) -> pa.RecordBatch:
     delta = np.zeros(int(chunk.first[-1]) + 1, dtype=np.int32)
     at = np.flatnonzero(walk.removed)
     delta[at] += 1
@@ -224,20 +253,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some megabytes in a chunk of its own; an empty table gives no rows. Extra columns are ignored.
     """
     spark = df.sparkSession
-    table = chunks(df, id_col, text_col, "substrings")
+    table = chunks(df, id_col, text_col, "substrings", _coded, _WORDS)
     words = table.agg(F.sum("n_words")).first()[0] or 0
     table = table.withColumn("parts", F.lit(parts_for(spark, words)))
     answered = 0
     for k, size in enumerate(levels(length, extend)):
         answer = _owners if size >= length else _shared_elsewhere
-        replies = ask(table, lambda row, k=k: _Walk(row, length, k, extend).questions(), answer, f"r{k}")
+        replies = ask(table.drop("body", "offsets"), lambda row, k=k: _Walk(row, length, k, extend).questions(), answer, f"r{k}")
         if replies.isEmpty():  # no candidate survives
             break
         table, answered = with_replies(table, replies, f"r{k}"), k + 1
 
     def finish(batches):
         for row in rows_of(batches):
-            yield _remove(_Walk(row, length, answered, extend, final=True), length)
+            yield _remove(_Walk(row, length, answered, extend, final=True), Chunk(row), length)
 
     out = table.mapInArrow(tidy(finish), "id long, n_words long, n_removed long, longest long, removed array<struct<start:long,end:long>>, kept_text string")
     return out.withColumnRenamed("id", id_col)
