@@ -4,11 +4,14 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.llm import exact_dedup, ngram_join, substring_dedup
 from veilspark.llm._components import components
+from veilspark.llm._exchange import stable_order
+from veilspark.llm._words import word_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, id string"
 VOCAB = [f"w{i}" for i in range(40)]
@@ -60,6 +63,33 @@ def test_exact_empty(spark):
     assert exact_dedup.drop_exact_duplicates(empty).collect() == []
 
 
+@pytest.mark.parametrize("top", [1, 40, 1 << 62])
+def test_stable_order(top):
+    """Also where many different keys share their leading bits (``top`` small), and for no keys."""
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 2, 5000):
+        keys = rnd.integers(0, top + 1, n).astype(np.uint64)
+        assert (stable_order(keys) == np.argsort(keys, kind="stable")).all()
+
+
+def test_windows_with_one_lead():
+    rnd = np.random.default_rng(4)
+    lead, rest = rnd.integers(0, 9, 300).astype(np.uint64), rnd.integers(0, 3, 300).astype(np.uint32)
+    order, new = substring_dedup._windows(lead, rest)
+    pairs = list(zip(lead[order].tolist(), rest[order].tolist(), strict=True))
+    assert pairs == sorted(pairs) and int(new.sum()) == len(set(pairs))
+
+
+def test_codes_give_the_words_back():
+    texts = [b"a b a", b"", b" \n", b"c  b"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    spans = word_spans(buf, offsets)
+    row = dict(zip(substring_dedup._WORDS, substring_dedup._coded(buf, *spans), strict=True))
+    hashes, first = substring_dedup._decoded(row)
+    assert (hashes == substring_dedup.word_hashes(buf, spans[0], spans[1], 0)).all() and first.tolist() == [0, 3, 3, 3, 5]
+
+
 def brute_substrings(rows, length):
     first = {}
     for r in rows:
