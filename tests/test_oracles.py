@@ -34,3 +34,15 @@ def test_query(spark, duck, name):
     at = [rel.columns.index(c) for c in columns]
     want = sorted(repr([plain(r[i]) for i in at]) for r in rel.fetchall())
     assert sorted(repr([plain(r[c]) for c in columns]) for r in df.collect()) == want
+
+
+def test_fakes_of_late_years(spark, tmp_path):
+    """Some 416,000 fake dates reach the year 10000, which Spark writes with a plus sign; years before 1 are BC."""
+    duckdb = pytest.importorskip("duckdb")
+    ids = [0, 1, 416_050, 416_093, 416_100, 500_000, 3_000_000, -20, -105_800, -400_000]
+    spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.register("documents", spark.read.parquet(f"{tmp_path}/documents.parquet").toArrow())
+    dated = lambda rows: sorted((i, fake) for label, i, fake in rows if label == "private_date")
+    got = [(r["label"], r["i"], r["fake"]) for r in catalogue.queries()["faker_each_label"](spark, str(tmp_path)).collect()]
+    assert dated(got) == dated(c.sql(catalogue.oracle_sql()["faker_each_label"]).fetchall())

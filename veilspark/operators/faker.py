@@ -14,6 +14,12 @@ PERSONS = (
 )
 
 
+def _date_text(d: Column) -> Column:
+    """A date as SQL engines other than Spark write it: a year beyond 9999 has no plus sign, one before 1 is BC."""
+    before = F.concat(F.lpad((1 - F.year(d)).cast("string"), F.greatest(F.length((1 - F.year(d)).cast("string")), F.lit(4)), F.lit("0")), F.date_format(d, "-MM-dd"), F.lit(" (BC)"))
+    return F.when(F.year(d) < 1, before).otherwise(F.ltrim(d.cast("string"), F.lit("+")))
+
+
 def fake_value(label: Column, i: Column) -> Column:
     """The fake for the ``i``-th distinct text (from 0) of a label."""
     person = F.get(F.array(*[F.lit(p) for p in PERSONS]), (i % len(PERSONS)).cast("int"))
@@ -24,7 +30,7 @@ def fake_value(label: Column, i: Column) -> Column:
         .when(label == "private_phone", F.concat(F.lit("+1-555-01"), F.lpad((n % 100).cast("string"), 2, "0")))
         .when(label == "private_address", F.concat((n + 100).cast("string"), F.lit(" Main St, Springfield, IL "), F.lpad((n + 60000).cast("string"), F.greatest(F.length((n + 60000).cast("string")), F.lit(5)), F.lit("0"))))
         .when(label == "private_url", F.concat(F.lit("https://example.com/path/"), n.cast("string")))
-        .when(label == "private_date", F.date_add(F.lit("2026-01-01").cast("date"), (n * 7).cast("int")).cast("string"))
+        .when(label == "private_date", _date_text(F.date_add(F.lit("2026-01-01").cast("date"), (n * 7).cast("int"))))
         .when(label == "account_number", F.concat(F.lit("4111-1111-1111-"), F.lpad((n % 10000).cast("string"), 4, "0")))
         .when(label == "secret", F.lit("[secret]"))
         .otherwise(F.concat(F.lit("["), label, F.lit("]")))
