@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import exact_dedup, ngram_join, substring_dedup
+from veilspark.llm import _components, exact_dedup, ngram_join, substring_dedup
 from veilspark.llm._components import components
 from veilspark.llm._exchange import stable_order
 from veilspark.llm._words import word_spans
@@ -183,3 +183,33 @@ def test_components(spark):
 
 def test_extra_columns_survive(spark, docs):
     assert exact_dedup.drop_exact_duplicates(docs.withColumn("size", F.lit(1))).columns[-1] == "size"
+
+
+def test_runs_of_sizes():
+    """A shared n-gram makes no family of sets whose sizes rule similarity out, and parts no sets that may be similar,
+    also when chunks send runs of theirs."""
+    size = np.array([10, 12, 100, 125, 126, 157])
+    keys = np.zeros(6, dtype=np.uint64)
+    runs = ngram_join._star(keys, np.arange(6), size, size, 80)
+    assert runs[1].tolist() == [0, 2] and runs[4].tolist() == [[0, 1], [2, 3], [2, 4], [2, 5]]
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n = 40
+        keys, size, chunk = rng.integers(0, 3, n).astype(np.uint64), np.exp(rng.uniform(0, 7, n)).astype(np.int64) + 1, rng.integers(0, 4, n)
+        made = [ngram_join._star(keys[at], at, size[at], size[at], 80) for at in (np.flatnonzero(chunk == c) for c in range(4))]
+        over = ngram_join._star(*(np.concatenate([m[k] for m in made]) for k in range(4)), 80)
+        pairs = np.concatenate([m[4] for m in made] + [over[4]])
+        label = dict(zip(*(x.tolist() for x in _components.least_reachable(pairs[:, 0], pairs[:, 1])), strict=True))
+        for x in range(n):
+            for y in range(n):
+                if keys[x] == keys[y] and 100 * size[x] >= 80 * size[y] >= 80 * size[x]:
+                    assert label.get(x, x) == label.get(y, y)
+
+
+def test_components_by_rounds_and_at_once(spark, monkeypatch):
+    rnd = random.Random(5)
+    edges = [(i, i + 1) for i in range(30)] + [(rnd.randrange(100, 200), rnd.randrange(100, 200)) for _ in range(70)] + [(5, 5), (300, 300), (None, 4)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    at_once = dict(components(df).collect())
+    monkeypatch.setattr(_components, "LOCAL_EDGES", 0)
+    assert dict(components(df).collect()) == at_once and at_once[30] == 0 and 300 not in at_once

@@ -3,7 +3,7 @@
 1. Each document becomes its set of hashed word n-grams; equal sets become one *class* (copies go no further).
 2. Every n-gram learns in how many chunks of documents it stands, and sets are ordered globally, rare n-grams first.
    Similar sets must share one of their first n-grams, so a class whose first n-grams stand nowhere else is settled;
-   the others fall into families (connected by shared first n-grams).
+   the others fall into families (connected by shared first n-grams, where sizes allow similarity).
 3. Each family is joined in a prefix tree over its ordered sets. A search walks shared paths once, carries the
    partial overlap, and leaves a subtree when the n-grams already missed on either side, against the lengths below,
    rule the threshold out. A family above a bounded block is cut into blocks and every pair of blocks is a task, so
@@ -26,8 +26,10 @@ from ._exchange import Chunk, ask, bounds, chunks, parts_for, rows_of, squeeze,
 from ._words import FOLD, doc_of_word, gram_hashes, inside, mix64, word_hashes, word_spans
 
 _U = np.uint64
-#: N-grams of a family that one block holds, about, and n-grams that one joining task gets, about.
-BLOCK_GRAMS = 40_000
+#: N-grams and sets of a family that one block holds, about, and n-grams that one joining task gets, about. Every block
+#: meets every other of its family: what is shipped and hashed grows with their number, so they are not made small.
+BLOCK_GRAMS = 320_000
+BLOCK_SETS = 2_000
 TASK_GRAMS = 200_000
 #: Words of the corpus for which one task matches first n-grams: few of them stand in two classes, and a pair of
 #: classes that shares many of them is found once per task.
@@ -156,16 +158,26 @@ def _unpacked(replies: list[bytes] | None, counts: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted order's distinct keys, each one's least node, and the distinct (least, other) pairs of nodes."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+def _star(keys: np.ndarray, nodes: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a key's nodes by size (a node stands for sets of ``low`` to ``high`` n-grams), cut where sizes are too far
+    apart for sets on both sides to be similar: each run's key, least node, least and greatest size, and the distinct
+    (least, other) pairs of nodes in a run. Similar sets that share a key are in one run."""
+    order = np.lexsort((nodes, high, low, keys))
+    keys, nodes, low, high = keys[order], nodes[order], low[order], high[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[1:] != keys[:-1]
-    least = nodes[new][np.cumsum(new) - 1] if len(keys) else nodes
+    # The greatest size so far of a key: a key's sizes are lifted above those of the keys before.
+    lift = np.cumsum(new) * (int(high.max(initial=0)) + 1)
+    most = np.maximum.accumulate(high + lift) - lift
+    new[1:] |= low[1:] * percent > 100 * most[:-1]
+    at = np.flatnonzero(new)
+    if not len(at):
+        return keys, nodes, low, high, np.zeros((0, 2), dtype=np.int64)
+    first = np.minimum.reduceat(nodes, at)
+    least = first[np.cumsum(new) - 1]
     other = least != nodes
     pairs = np.unique(np.stack((least[other], nodes[other]), axis=1), axis=0)
-    return keys[new], nodes[new], pairs
+    return keys[at], first, low[at], np.maximum.reduceat(high, at), pairs
 
 
 class PrefixTree:
@@ -321,9 +333,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for row in rows_of(batches):
             s = _Sets(row, n)
             grams, doc = s.first_grams(row["counts"], parts, percent)
-            keys, nodes, pairs = _star(mix64(grams), s.node[doc])  # first n-grams are low hashes: spread them again
+            keys, *runs, pairs = _star(mix64(grams), s.node[doc], s.size[doc], s.size[doc], percent)  # first n-grams are low hashes: spread them again
             cut = bounds(keys, meeting)
-            out = [(p, squeeze(keys[b:e].tobytes() + nodes[b:e].tobytes())) for p, (b, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > b]
+            out = [(p, squeeze(b"".join(x[b:e].tobytes() for x in (keys, *runs)))) for p, (b, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if e > b]
             # Pairs found inside the chunk ride along to an answerer of the chunk's own.
             out.append((meeting + row["chunk_id"] % meeting, pairs.tobytes()))
             yield pa.RecordBatch.from_pydict({"p": [p for p, _ in out], "payload": [x for _, x in out]}, schema=pa.schema([("p", pa.int32()), ("payload", pa.binary())]))
@@ -333,10 +345,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if t.column("p")[0].as_py() >= meeting:
             pairs = np.frombuffer(b"".join(payloads), dtype=np.int64).reshape(-1, 2)
         else:
-            halves = [np.frombuffer(unsqueeze(x), dtype=_U) for x in payloads]
-            keys = np.concatenate([h[: len(h) // 2] for h in halves])
-            nodes = np.concatenate([h[len(h) // 2 :] for h in halves]).view(np.int64)
-            pairs = _star(keys, nodes)[2]
+            keys, *runs = np.concatenate([np.frombuffer(unsqueeze(x), dtype=_U).reshape(4, -1) for x in payloads], axis=1)
+            pairs = _star(keys, *(x.view(np.int64) for x in runs), percent)[4]
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     met = told.mapInArrow(tidy(send), "p int, payload binary").groupBy("p").applyInArrow(meet, "a long, b long")
@@ -372,8 +382,9 @@ def _place_of(node: str) -> Column:
 def _links(table: DataFrame, families: DataFrame, kinds: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows (a, b) that span each family's linked classes, and rows (node, links) that count each class's links."""
     members = families.join(kinds.select(F.col("rep").alias("node"), "size", "copies"), "node")
-    sizes = members.groupBy("label").agg(F.sum("size").alias("grams"))
-    sizes = stage(sizes.withColumn("blocks", F.ceil(F.col("grams") / BLOCK_GRAMS).cast("int")), "near-sizes")
+    sizes = members.groupBy("label").agg(F.sum("size").alias("grams"), F.count("*").alias("sets"))
+    blocks = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("sets") / BLOCK_SETS))
+    sizes = stage(sizes.select("label", "grams", blocks.cast("int").alias("blocks")), "near-sizes")
     total = sizes.agg(F.sum(F.col("grams") * F.col("blocks"))).first()[0] or 0
     tasks = max(parts_for(table.sparkSession, 0), int(total // TASK_GRAMS) + 1)
     placed = members.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
