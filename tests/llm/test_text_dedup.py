@@ -213,3 +213,12 @@ def test_components_by_rounds_and_at_once(spark, monkeypatch):
     at_once = dict(components(df).collect())
     monkeypatch.setattr(_components, "LOCAL_EDGES", 0)
     assert dict(components(df).collect()) == at_once and at_once[30] == 0 and 300 not in at_once
+
+
+def test_chunks_come_in_small_batches(spark):
+    """Rows of the chunk table have megabytes: workers get few of them at a time."""
+    from veilspark.llm._exchange import chunks
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert chunks(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "doc_id", "text", "batches").count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20

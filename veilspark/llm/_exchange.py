@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_BYTES, forget, shuffle_partitions, stage, tidy
+from ._common import BROADCAST_BYTES, bounded_batches, forget, shuffle_partitions, stage, tidy
 from ._words import slices, word_spans
 
 CHUNK_SCHEMA = "chunk_id long, ids binary, known binary, offsets binary, body binary, n_words long"
 #: Keys that one answerer gets, about.
-KEYS_PER_PART = 2_000_000
+KEYS_PER_PART = 1_000_000
 
 
 _U = np.uint64
@@ -59,6 +59,7 @@ class Chunk:
 def chunks(df: DataFrame, id_col: str, text_col: str, name: str, more: Callable | None = None, more_names: tuple[str, ...] = ()) -> DataFrame:
     """The staged chunk table of ``df``; ids are cast to long, null text is empty. ``more(buf, starts, ends, first)``
     gives further binary columns, made once from a chunk's words."""
+    bounded_batches(df.sparkSession)  # a row of the chunk table has megabytes: each batch is held by the JVM and by Python
     extra = [(c, pa.binary()) for c in more_names]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
