@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from veilspark.llm import _components, exact_dedup, ngram_join, substring_dedup
 from veilspark.llm._components import components
-from veilspark.llm._exchange import stable_order
+from veilspark.llm._common import from_rows
+from veilspark.llm._exchange import squeeze, stable_order
 from veilspark.llm._words import word_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, count long, id string"
@@ -222,3 +224,50 @@ def test_chunks_come_in_small_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     assert chunks(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "doc_id", "text", "batches").count() == 1
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def chunk_row(texts):
+    data, size = [t.encode() for t in texts], len(texts)
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in data]))).astype(np.int64)
+    return {"chunk_id": 0, "ids": np.arange(size).tobytes(), "known": np.ones(size, dtype=bool).tobytes(), "offsets": offsets.tobytes(), "body": squeeze(b"".join(data))}
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 20])
+def test_sets_of_a_chunk(most, monkeypatch):
+    """Cut anywhere between documents the sets are the same; equal ones have one fingerprint wherever they stand."""
+    monkeypatch.setattr(ngram_join, "GRAM_BYTES", most)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.choice([0, 1, 4, 5, 40]))) for _ in range(150)]
+    texts += [t.upper() for t in texts]
+    s = ngram_join._Sets(chunk_row(texts), 5)
+    want = [shingles(t) for t in texts]
+    assert s.size.tolist() == [len(x) for x in want]
+    assert int(s.distinct.sum()) == len({frozenset(x) for x in want if x})
+    assert all((s.fa[i], s.fb[i]) == (s.fa[i + 150], s.fb[i + 150]) for i in range(150))
+    assert (s.grams[s.at[7] : s.at[8]] == np.unique(ngram_join.gram_sets(np.frombuffer(texts[7].encode(), dtype=np.uint8), np.array([0, len(texts[7])]), 5)[0])).all()
+
+
+def test_memory_of_a_chunk():
+    """A worker that takes a chunk's sets and first n-grams needs at most ten times the text."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"word{i}" for i in range(3000)], k=500)) for _ in range(600)]
+    row = chunk_row(texts)
+    ngram_join._Sets(chunk_row(["a b c d e f"]), 5).asked()
+    tracemalloc.start()
+    s = ngram_join._Sets(row, 5)
+    keys = s.asked()
+    level = np.packbits(np.concatenate((np.ones(len(keys), dtype=np.uint8), np.zeros(len(keys), dtype=np.uint8)))).tobytes()
+    grams, doc = s.first_grams([level], 1, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(grams) and (np.diff(doc) >= 0).all()
+    assert peak < 10 * sum(map(len, texts))
+
+
+def test_small_tables_without_python_workers(spark):
+    df = from_rows(spark, [("a", 1), (None, 1 << 40)], "x string, _y long")
+    assert df.dtypes == [("x", "string"), ("_y", "bigint")]
+    assert [tuple(r) for r in df.collect()] == [("a", 1), (None, 1 << 40)]
+    assert "PythonRDD" not in df._jdf.queryExecution().toRdd().toDebugString()
+    assert "PythonRDD" in spark.createDataFrame([("a", 1)], "x string, _y long")._jdf.queryExecution().toRdd().toDebugString()
+    assert from_rows(spark, [], "x string, _y long").count() == 0

@@ -11,6 +11,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space of the word contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -43,6 +45,14 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def from_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's. Rows given as they are would pass through Python workers, for which each executor
+    starts a second daemon and keeps it; an Arrow table does not."""
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind))
+
+
 #: The one model that this Python worker holds.
 _HELD: dict = {}
 
@@ -147,7 +157,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "ranked", parts: int
         total += counts.get(p, 0)
     if not starts:
         return kept.withColumn("rank", F.lit(0).cast("long")).drop("_at"), 0
-    offsets = spark.createDataFrame([(i, s) for i, s in enumerate(starts)], "_p long, _start long")
+    offsets = from_rows(spark, [(i, s) for i, s in enumerate(starts)], "_p long, _start long")
     out = (
         kept.withColumn("_p", part)
         .join(F.broadcast(offsets), "_p")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,12 @@ class Chunk:
         self.known = np.frombuffer(row["known"], dtype=bool)
         self.offsets = np.frombuffer(row["offsets"], dtype=np.int64)
         self.buf = np.frombuffer(unsqueeze(row["body"]), dtype=np.uint8)
-        self.starts, self.ends, self.first = word_spans(self.buf, self.offsets)
+
+    @cached_property
+    def _spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return word_spans(self.buf, self.offsets)
+
+    starts, ends, first = (property(lambda self, k=k: self._spans[k]) for k in range(3))
 
     def __len__(self) -> int:
         return len(self.ids)

@@ -12,7 +12,8 @@ import xxhash
 #: Bytes of text that are worked on together; a longer text is taken alone.
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 1 << 16
-_BLOCK = 1 << 20
+#: Bytes hashed together; the tables of powers, which a worker keeps, are as long as this and _LONG.
+_BLOCK = 1 << 17
 #: Longer words are hashed one by one.
 _LONG = 1 << 16
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)

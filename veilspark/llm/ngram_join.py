@@ -34,6 +34,8 @@ TASK_GRAMS = 200_000
 #: Words of the corpus for which one task matches first n-grams: few of them stand in two classes, and a pair of
 #: classes that shares many of them is found once per task.
 FIRST_GRAM_WORDS = 10_000_000
+#: Bytes of whole documents whose words are held at a time, each of them in several arrays; a longer document is taken alone.
+GRAM_BYTES = 512 << 10
 
 
 def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +43,17 @@ def gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 
     A-Z is lower-cased. A document of fewer words has its whole sequence as one n-gram; without words, none.
     """
+    grams, sizes, i = [np.zeros(0, dtype=_U)], [np.zeros(1, dtype=np.int64)], 0
+    while i < len(offsets) - 1:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + GRAM_BYTES, side="right")) - 1)
+        hashes, at = _gram_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
+        grams.append(hashes)
+        sizes.append(np.diff(at))
+        i = j
+    return np.concatenate(grams), np.cumsum(np.concatenate(sizes))
+
+
+def _gram_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(buf, offsets)
     words = word_hashes(FOLD[buf], starts, ends)
     ok = inside(first, n)
@@ -72,9 +85,7 @@ class _Sets:
         self.chunk = chunk = Chunk(row)
         self.grams, self.at = gram_sets(chunk.buf, chunk.offsets, n)
         self.size = np.diff(self.at)
-        sums = lambda x: np.concatenate(([0], np.cumsum(x, dtype=_U))).astype(_U)
-        a, b = sums(mix64(self.grams)), sums(mix64(self.grams ^ _U(0x5851F42D4C957F2D)) * _U(3))
-        self.fa, self.fb = a[self.at[1:]] - a[self.at[:-1]], b[self.at[1:]] - b[self.at[:-1]]
+        self.fa, self.fb = self._sums(mix64(self.grams)), self._sums(mix64(self.grams ^ _U(0x5851F42D4C957F2D)) * _U(3))
         part, k = chunk.chunk_id >> 32, chunk.chunk_id & 0xFFFFFFFF
         self.node = ((part << 36) | (k << 16)) + np.arange(len(chunk), dtype=np.int64)
         order = np.lexsort((self.node, self.size, self.fb, self.fa))
@@ -89,18 +100,34 @@ class _Sets:
             leading[row["lead"] or []] = True
             self.distinct &= leading
 
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        """Of a number for each n-gram, each document's sum."""
+        upto = np.zeros(len(x) + 1, dtype=_U)
+        np.cumsum(x, out=upto[1:])
+        return upto[self.at[1:]] - upto[self.at[:-1]]
+
     def of_classes(self) -> tuple[np.ndarray, np.ndarray]:
         """N-grams of the distinct classes, with each one's document."""
-        doc = np.repeat(np.arange(len(self.size)), self.size)
-        keep = self.distinct[doc]
-        return self.grams[keep], doc[keep]
+        keep = np.repeat(self.distinct, self.size)
+        at = np.flatnonzero(self.distinct)
+        return self.grams[keep], np.repeat(at.astype(np.int32), self.size[at])
+
+    def asked(self) -> np.ndarray:
+        """The sorted distinct 48-bit keys of the n-grams of the distinct classes."""
+        return np.unique(mix64(self.of_classes()[0]) >> _U(16))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """N-grams of the distinct classes and their documents, the sorted distinct 48-bit keys of the n-grams, and
         each n-gram's place among those. (Equal keys of different n-grams only make both look more common.)"""
         grams, doc = self.of_classes()
-        keys, place = np.unique(mix64(grams) >> _U(16), return_inverse=True)
-        return grams, doc, keys, place
+        keys = mix64(grams) >> _U(16)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        place = np.empty(len(keys), dtype=np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        return grams, doc, keys[new], place
 
     def first_grams(self, replies: list[bytes] | None, parts: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each class's first n-grams (in global order all but as many as a similar set must overlap, less one)
@@ -108,13 +135,15 @@ class _Sets:
         grams, doc, keys, place = self.keys()
         rarity = _unpacked(replies, np.diff(_key_bounds(keys, parts)))
         # In this chunk alone, but in several of its classes: such n-grams rank with those of two chunks.
-        rarity = np.where((rarity == 0) & (np.bincount(place, minlength=len(keys)) > 1), 1, rarity)[place]
+        rarity[(rarity == 0) & (np.bincount(place, minlength=len(keys)) > 1)] = 1
+        rarity = rarity[place]
+        del keys, place
         order = np.lexsort((grams, rarity, doc))
-        grams, doc, rarity = grams[order], doc[order], rarity[order]
-        size = self.size[doc]
-        keep = np.arange(len(grams)) - np.searchsorted(doc, doc) < size - least_overlap(size, percent) + 1
-        keep &= rarity > 0
-        return grams[keep], doc[keep]
+        size = self.size[self.distinct]
+        ends, first = np.cumsum(size), size - least_overlap(size, percent) + 1
+        order = order[np.arange(len(order), dtype=np.int32) < np.repeat((ends - size + first).astype(np.int32), size)]
+        order = order[rarity[order] > 0]
+        return grams[order], doc[order]
 
 
 def _key_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -151,9 +180,9 @@ def _chunk_counts(payloads: list[bytes]) -> list[bytes]:
 
 
 def _unpacked(replies: list[bytes] | None, counts: np.ndarray) -> np.ndarray:
-    out = [np.zeros(0, dtype=np.int64)]
+    out = [np.zeros(0, dtype=np.uint8)]
     for r, n in zip(replies or [], (int(c) for c in counts if c), strict=True):
-        b = np.unpackbits(np.frombuffer(r, dtype=np.uint8), count=2 * n).astype(np.int64)
+        b = np.unpackbits(np.frombuffer(r, dtype=np.uint8), count=2 * n)
         out.append(b[:n] + 2 * b[n:])
     return np.concatenate(out)
 
@@ -320,7 +349,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leading = table.join(F.broadcast(lead) if kinds.count() * 8 <= BROADCAST_BYTES else lead, "chunk_id", "left")
 
     def ask_counts(row):
-        keys = _Sets(row, n).keys()[2]
+        keys = _Sets(row, n).asked()
         cut = _key_bounds(keys, parts)
         for p, (b, e) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if e > b:
